@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import simhash
+from orrery.llm import mixing, secrets, simhash
 from orrery.llm.common import table
 
 
@@ -14,8 +14,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable]:
-    return {"op10_simhash": op10_simhash}
+    return {"op4_mixing": op4_mixing, "op5_secrets": op5_secrets, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
