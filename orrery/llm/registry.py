@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import mixing, secrets, simhash
+from orrery.llm import mixing, secrets, simhash, tokens
 from orrery.llm.common import table
 
 
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_to_files(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
-    return {"op4_mixing": op4_mixing, "op5_secrets": op5_secrets, "op10_simhash": op10_simhash}
+    return {"op4_mixing": op4_mixing, "op5_secrets": op5_secrets, "op8_tokens": op8_tokens, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
