@@ -56,7 +56,7 @@ def text_chunks(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]
     memory is bounded by that and the longest text, not by the batch."""
     start, size = 0, 0
     for k, text in enumerate(texts):
-        size += len(text or "")
+        size += len(text["text"] or "") if isinstance(text, dict) else len(text or "")
         if size >= most:
             yield start, k + 1
             start, size = k + 1, 0
