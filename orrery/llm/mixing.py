@@ -19,7 +19,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.common import SPACE, saved
@@ -31,14 +31,15 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 SEED, ROUNDS = 20, 8
 
 
-def permuted(x: Column, n: Column, *key: Column) -> Column:
-    """A pseudorandom permutation of [0, n) at x by swap-or-not rounds."""
-
-    def step(at: Column, k: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(*key, k, n), n) - at + n, n)
-        return F.when(F.xxhash64(*key, k, F.greatest(at, other)) < 0, other).otherwise(at)
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), x, step)
+def permuted(df: DataFrame, x: str, n: str, key: str) -> DataFrame:
+    """``df`` with x in [0, n) moved by a pseudorandom permutation of that range for each
+    key, by swap-or-not rounds; a projection a round keeps it in generated code."""
+    for k in range(ROUNDS):
+        turn = F.pmod(F.xxhash64(key, F.lit(2 * k)), F.col(n))
+        df = df.withColumn("_other", F.pmod(turn - F.col(x) + F.col(n), F.col(n)))
+        bit = F.xxhash64(key, F.lit(2 * k + 1), F.greatest(x, "_other")) < 0
+        df = df.withColumn(x, F.when(bit, F.col("_other")).otherwise(F.col(x)))
+    return df.drop("_other")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -112,11 +113,12 @@ def draws(plan: DataFrame) -> DataFrame:
     shares = held.select(
         "source", "blocks", F.coalesce(scaled("(upto - n)"), F.lit(0)).alias("lo"), F.coalesce(scaled("upto"), F.col("slots")).alias("hi")
     ).where("lo < hi")
-    slots = shares.select("source", "blocks", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("t"))
-    turn = F.floor(F.col("t") / F.col("blocks")).alias("pass")
-    name = F.coalesce("source", F.lit("")), F.col("source").isNull()
-    at = permuted(F.pmod("t", "blocks"), F.col("blocks"), F.lit(SEED), *name, F.floor(F.col("t") / F.col("blocks")))
-    return slots.select("source", at.alias("block"), turn)
+    # a source's shards came together for the running sums; each is laid out on its own
+    slots = shares.repartition("source", "lo").select("source", "blocks", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("t"))
+    turn = F.floor(F.col("t") / F.col("blocks"))
+    key = F.xxhash64(F.lit(SEED), F.coalesce("source", F.lit("")), F.col("source").isNull(), turn)
+    keyed = slots.select("source", "blocks", F.pmod("t", "blocks").alias("block"), turn.alias("pass"), key.alias("_key"))
+    return permuted(keyed, "block", "blocks", "_key").select("source", "block", "pass")
 
 
 def pieces(placed: DataFrame) -> DataFrame:
@@ -131,7 +133,8 @@ def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken), one row for each row of ``docs``."""
     placed = saved(laid_out(docs), "placed")
     plan = saved(quotas(placed), "quotas")
-    times = draws(plan).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
+    # written first: a join's null checks pushed into the rounds would double at each one
+    times = saved(draws(plan), "draws").groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
     cut = pieces(placed)
     met = cut.join(times, cut["source"].eqNullSafe(times["source"]) & (cut["block"] == times["block"]))
     taken = met.groupBy("doc_id", cut["source"], "row", "grp", "nth").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
