@@ -51,17 +51,22 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def text_chunks(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def ranges(sizes, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of positions whose sizes come to about ``most`` together."""
+    start, total = 0, 0
+    for k, size in enumerate(sizes):
+        total += size
+        if total >= most:
+            yield start, k + 1
+            start, total = k + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def text_chunks(texts: list, most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of a batch whose texts hold about ``most`` characters together, so that
     memory is bounded by that and the longest text, not by the batch."""
-    start, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text["text"] or "") if isinstance(text, dict) else len(text or "")
-        if size >= most:
-            yield start, k + 1
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    return ranges([len((t["text"] if isinstance(t, dict) else t) or "") for t in texts], most)
 
 
 def map_texts(df: DataFrame, keep: list[str], made: str, work: Callable, text: str = "text") -> DataFrame:

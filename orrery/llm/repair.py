@@ -17,7 +17,7 @@ import numpy as np
 
 MAGIC = 0x31525047
 #: Rounds, pairs replaced in one round, times a pair has to occur, size of the count table.
-ROUNDS, PAIRS, LEAST, SLOTS = 8, 1024, 16, 1 << 18
+ROUNDS, PAIRS, LEAST, SLOTS = 6, 2048, 16, 1 << 18
 
 
 def _alternate(hit: np.ndarray) -> np.ndarray:

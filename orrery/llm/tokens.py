@@ -5,9 +5,9 @@ writes segments of about ``SEGMENT`` ids (one row: order, documents' ids, payloa
 Spark's Parquet writer into the shared folder, so the committer discards what lost tasks
 left. The format of a payload is in ``repair``.
 
-The tokenizer works on words: a single space between two characters that are not white
-space always starts a new token in byte-level BPE, so texts are cut there and each
-distinct piece is encoded once by the library; a test compares with whole texts.
+A single space between two characters that are not white space always starts a new
+token in byte-level BPE, so texts are cut there and each distinct piece is encoded by
+the library once while a task remembers it; a test compares with whole texts.
 
 Defined results: null text is empty and has the end id alone; null doc_ids come first;
 rows of one doc_id are ordered by text; an empty table gives an empty result; other
@@ -16,10 +16,9 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +26,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm import repair
-from orrery.llm.common import saved, text_chunks
+from orrery.llm.common import ranges, saved
 
-#: Ids in a segment, pieces that a task remembers, pieces encoded in one call's string.
-SEGMENT, REMEMBERED, JOINED = 1 << 19, 400_000, 256
+#: Ids in a segment (and bytes encoded at once), pieces that a worker remembers, pieces encoded in one call's string.
+SEGMENT, REMEMBERED, JOINED = 1 << 19, 600_000, 256
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
-# what Python or the tokenizer could hold for white space
-_W = r"\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
-_CUT = re.compile(f"(?<=[^{_W}]) (?=[^{_W}])")
+_MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def piece_starts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where pieces start in the UTF-8 bytes of texts that start at ``starts``: at each text
+    and at single spaces between characters that are surely not white space. Those are
+    ASCII beyond the space and the letters of two bytes from U+00C0; others are not cut."""
+    cut = raw == 32
+    plain = (raw > 32) & (raw < 127)
+    two = (raw >= 0xC3) & (raw <= 0xDF)
+    before = plain.copy()
+    before[1:] |= two[:-1]
+    cut[1:] &= before[:-1]
+    cut[:-1] &= (plain | two)[1:]
+    if len(cut):
+        cut[0] = cut[-1] = False
+    first = starts[starts < len(raw)]
+    cut[first[first > 0] - 1] = False  # a text's last space
+    cut[first] = True
+    return np.flatnonzero(cut)
 
 
 class PieceEncoder:
-    """Encodes texts with a byte-level tokenizer of the tokenizers library, piece by piece."""
+    """Encodes texts with a byte-level tokenizer of the tokenizers library, piece by piece.
+
+    Pieces are known by two 64-bit hashes of their bytes, in an open-addressing table of
+    numpy arrays, so that only new pieces become Python strings."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,74 +69,117 @@ class PieceEncoder:
         self.width = np.zeros(max(names.values()) + 1, np.int64)
         for name, at in names.items():
             self.width[at] = len(name)
+        rng = np.random.default_rng(8)
+        self.values = rng.integers(1, 1 << 63, (2, 256), np.uint64)
+        self.base = [int(x) | 1 for x in rng.integers(1 << 62, 1 << 63, 2, np.uint64)]
+        self.powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * 2
         self._forget()
 
     def _forget(self) -> None:
-        #: rows of pieces that follow a space, and of pieces that begin a text
-        self.at: dict[str, int] = {}
-        self.heads: dict[str, int] = {}
+        self.slots = 4 * REMEMBERED
+        self.slots = 1 << self.slots.bit_length()
+        self.keys = np.zeros((2, self.slots), np.uint64)
+        self.rows = np.full(self.slots, -1, np.int64)
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _store(self, into: dict, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        first = len(self.ends) - 1
-        into.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+    def _hashes(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Two polynomial hashes of raw[begin:end], by prefix sums and inverse powers."""
+        out = []
+        for k in range(2):
+            up, down = self.powers[k]
+            if len(up) <= len(raw):
+                n = max(1 << 20, 2 * len(raw))
+                up, down = np.full((2, n), self.base[k], np.uint64)
+                down[:] = pow(self.base[k], -1, 1 << 64)
+                up[0] = down[0] = 1
+                np.cumprod(up, out=up)
+                np.cumprod(down, out=down)
+                self.powers[k] = up, down
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(self.values[k][raw] * up[: len(raw)], out=sums[1:])
+            # bytes stand at their places in the text, so the sum is shifted back
+            h = (sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)
+            out.append((h ^ (h >> np.uint64(32))) * (_MIX if k else _SPREAD) | np.uint64(k == 0))
+        return np.stack(out)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of the pieces with these hashes, -1 for unknown ones."""
+        out = np.full(keys.shape[1], -1, np.int64)
+        slot = (keys[0] >> np.uint64(20)).astype(np.int64) & (self.slots - 1)
+        open_ = np.arange(keys.shape[1])
+        while len(open_):
+            row = self.rows[slot]
+            same = (row >= 0) & (self.keys[0][slot] == keys[0][open_]) & (self.keys[1][slot] == keys[1][open_])
+            out[open_[same]] = row[same]
+            on = (row >= 0) & ~same
+            open_, slot = open_[on], (slot[on] + 1) & (self.slots - 1)
+        return out
+
+    def _store(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New pieces, all different, with their ids one after another."""
+        row = len(self.ends) - 1 + np.arange(keys.shape[1])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, ids])
+        slot = (keys[0] >> np.uint64(20)).astype(np.int64) & (self.slots - 1)
+        left = np.arange(keys.shape[1])
+        while len(left):
+            free = np.flatnonzero(self.rows[slot] < 0)
+            _, pick = np.unique(slot[free], return_index=True)
+            won = free[pick]
+            self.rows[slot[won]] = row[left[won]]
+            self.keys[:, slot[won]] = keys[:, left[won]]
+            on = np.ones(len(left), bool)
+            on[won] = False
+            left, slot = left[on], (slot[on] + 1) & (self.slots - 1)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces that may follow one another, many in one string; the bytes that
+    def _joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that may follow one another, many in one string; the bytes that
         the tokens stand for tell where each piece ends."""
-        ids, _ = self._library([" " + " ".join(pieces[k : k + JOINED]) for k in range(0, len(pieces), JOINED)])
+        ids, _ = self._library([b"".join(pieces[k : k + JOINED]).decode() for k in range(0, len(pieces), JOINED)])
         bytes_ = np.concatenate([[0], np.cumsum(self.width[ids])])
-        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        ends = np.cumsum([len(p) for p in pieces])
         cut = np.searchsorted(bytes_, ends)
         if cut[-1] != len(ids) or not np.array_equal(bytes_[cut], ends):  # a token crosses pieces
-            self._store(self.at, pieces, *self._library([" " + p for p in pieces]))
-        else:
-            self._store(self.at, pieces, ids, np.diff(cut, prepend=0))
-
-    def encode(self, texts: list[str | None], end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and where each ends; ``end`` is appended to each."""
-        if len(self.at) + len(self.heads) > REMEMBERED:
+            return self._library([p.decode() for p in pieces])
+        return ids, np.diff(cut, prepend=0)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, END appended to each, and where each ends."""
+        coded = [(t or "").encode() for t in texts]
+        whole = np.cumsum([0, *map(len, coded)])
+        return self.encode_bytes(b"".join(coded), whole)
+
+    def encode_bytes(self, data: bytes, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts data[whole[k]:whole[k + 1]] in UTF-8."""
+        if len(self.ends) > REMEMBERED:
             self._forget()
-        pieces: list[str] = []
-        counts, heads, places, last = [], [], [], set()
-        for text in texts:
-            cut = _CUT.split(text) if text else []
-            counts.append(len(cut))
-            if cut:
-                heads.append(cut[0])
-                places.append(len(pieces))
-                last.add(cut[-1])
-                pieces += cut
-        rows = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
-        rows[places] = [self.heads.get(p, -1) for p in heads]
-        unknown = rows < 0
-        unknown[places] = False
-        missing = np.flatnonzero(unknown)
-        new = dict.fromkeys(pieces[k] for k in missing)
-        # white space at a text's end could merge with what stands behind it
-        if alone := [p for p in new if p in last]:
-            self._store(self.at, alone, *self._library([" " + p for p in alone]))
-        if new := [p for p in new if p not in last]:
-            self._learn(new)
-        if alone := list(dict.fromkeys(p for p in heads if p not in self.heads)):
-            self._store(self.heads, alone, *self._library(alone))
-        rows[missing] = [self.at[pieces[k]] for k in missing]
-        rows[places] = [self.heads[p] for p in heads]
+        raw = np.frombuffer(data, np.uint8)
+        begin = piece_starts(raw, whole[:-1])
+        end = np.append(begin[1:], len(raw)) if len(begin) else begin
+        keys = self._hashes(raw, begin, end)
+        rows = self._find(keys)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            _, one = np.unique(keys[0][missing], return_index=True)
+            new = missing[np.sort(one)]
+            outer = np.isin(begin[new], whole[:-1]) | np.isin(end[new], whole[1:])
+            # white space at a text's ends could merge with what stands beside it
+            if len(inner := new[~outer]):
+                self._store(keys[:, inner], *self._joined([data[a:b] for a, b in zip(begin[inner].tolist(), end[inner].tolist(), strict=True)]))
+            if len(alone := new[outer]):
+                self._store(keys[:, alone], *self._library([data[a:b].decode() for a, b in zip(begin[alone].tolist(), end[alone].tolist(), strict=True)]))
+            rows[missing] = self._find(keys[:, missing])
         size = self.ends[rows + 1] - self.ends[rows]
         to = np.cumsum(size)
         total = int(to[-1]) if len(to) else 0
         flat = self.ids[np.arange(total) + np.repeat(self.ends[rows] - (to - size), size)]
-        stops = np.concatenate([[0], to])[np.cumsum(counts)] if counts else np.zeros(0, np.int64)
-        if end is None:
-            return flat, stops
-        return np.insert(flat, stops, end).astype(np.uint32), stops + np.arange(1, len(stops) + 1)
+        stops = np.concatenate([[0], to])[np.searchsorted(begin, whole[1:])]
+        return np.insert(flat, stops, END).astype(np.uint32), stops + np.arange(1, len(stops) + 1)
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -156,9 +218,11 @@ def write_files(docs: DataFrame, path: str | None = None) -> DataFrame:
             if not batch.num_rows:
                 continue
             part = batch.column("part")[0].as_py()
-            texts, keys = batch.column("text").to_pylist(), batch.column("doc_id")
-            for a, b in text_chunks(texts, SEGMENT):
-                flat, stops = encoder(path).encode(texts[a:b])
+            texts, keys = batch.column("text").cast(pa.large_binary()).fill_null(b""), batch.column("doc_id")
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = memoryview(texts.buffers()[2] or b"")
+            for a, b in ranges(np.diff(offsets), SEGMENT):
+                flat, stops = encoder(path).encode_bytes(bytes(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a])
                 held.append(keys.slice(a, b - a))
                 ids.append(flat)
                 ends.append(stops)
