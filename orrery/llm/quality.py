@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from orrery.llm.common import crc_of_id, map_texts
 
 #: Bytes in a passage, labelled documents to fit on, encoding and attention widths.
-PASSAGE, LABELLED, WIDTH, GATE = 1000, 6000, 32, 16
+PASSAGE, LABELLED, WIDTH, GATE = 1000, 4000, 32, 16
 STEPS, BATCH, RATE, DECAY, SEED = 600, 128, 0.01, 1e-4, 9
 #: Character classes, slots that count distinct windows, features of a passage.
 CLASSES, WINDOWS = 32, 2048
