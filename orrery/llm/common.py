@@ -88,4 +88,4 @@ def map_texts(df: DataFrame, keep: list[str], made: str, work: Callable, text: s
                     cut = [x.take(rows) for x in cut]
                 yield pa.RecordBatch.from_arrays([*cut, *(pa.array(x) for x in got)], names=names)
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)

@@ -129,6 +129,33 @@ def pieces(placed: DataFrame) -> DataFrame:
     return cut.withColumn("words", words)
 
 
+def mixture(docs: DataFrame) -> DataFrame:
+    """The mix as documents: for each pass in which words of a document were drawn, a row
+    with its columns and those words in order as its text (the text itself where all
+    were). A column n_chars follows the text. Documents without words are not drawn.
+
+    Rows that agree in doc_id, source and text stand for one another."""
+    placed = saved(laid_out(docs), "placed")
+    drawn = saved(draws(saved(quotas(placed), "quotas")), "draws").withColumnsRenamed({"source": "_source", "block": "_block"})
+    cut = pieces(placed)
+    met = cut.join(drawn, cut["source"].eqNullSafe(drawn["_source"]) & (cut["block"] == drawn["_block"]))
+    parts = met.groupBy("doc_id", "source", "row", "grp", "nth", "pass", "start", "size").agg(
+        F.array_sort(F.collect_list("block")).alias("_blocks"), (F.sum("words") == F.col("size")).alias("_all")
+    )
+    parts = parts.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "row", "start", "size")), "_blocks", "_all")
+    each = docs.withColumn("_of", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "source", "_of"])
+    same = each["doc_id"].eqNullSafe(parts["_doc_id"]) & each["source"].eqNullSafe(parts["_source"]) & (each["_of"] == parts["_row"])
+    words = F.regexp_extract_all("text", F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))
+    lead = lambda b: F.greatest(F.lit(0), b * BLOCK - F.col("_start"))
+    stop = lambda b: F.least(F.col("_size"), (b + 1) * BLOCK - F.col("_start"))
+    held = F.flatten(F.transform("_blocks", lambda b: F.slice("_words", (lead(b) + 1).cast("int"), (stop(b) - lead(b)).cast("int"))))
+    cut_text = F.when(F.col("_all"), F.col("text")).otherwise(F.array_join(held, ""))
+    out = each.join(parts, same).withColumn("_words", F.when(~F.col("_all"), words)).withColumn("text", cut_text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken), one row for each row of ``docs``."""
     placed = saved(laid_out(docs), "placed")

@@ -160,19 +160,19 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> dict:
     return train(whole, ends, got.column("label").to_numpy())
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, score) for each row of ``docs`` (doc_id, text)."""
-    return score_beside(docs, ["doc_id"], model)
+def score(docs: DataFrame, keep: list[str], model: dict, name: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the score of the column text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return map_texts(docs, keep, f"{name} double", lambda texts: [_forward(shared.value, *passages(texts))["score"].astype(np.float64)])
 
 
-def score_beside(docs: DataFrame, keep: list[str], model: dict) -> DataFrame:
-    """The columns ``keep`` with ``score`` of the column text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs, keep, "score double", lambda texts: [_forward(shared.value, *passages(texts))["score"].astype(np.float64)])
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that a model of their own labels scores 0.5 or more."""
+    return score(docs, docs.columns, fit(docs, labels), "_quality").where("_quality >= 0.5").drop("_quality")
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """Learn from the labels of rows whose crc32(doc_id) mod ``folds`` is not ``held``; score all."""
     out = F.coalesce(crc_of_id() % folds == held, F.lit(False))
     model = fit(docs, labels.where(~out))
-    return score(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs, ["doc_id"], model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

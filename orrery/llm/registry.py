@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import chat, langid, mixing, quality, secrets, simhash, tokens
+from orrery.llm import chat, chunks, decontaminate, langid, mixing, quality, secrets, simhash, tokens, topk
 from orrery.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.unionByName(extra)))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_to_files(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,14 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeats(table(spark, sf_dir, "documents"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -42,7 +54,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
-    return {"op1_langid": op1_langid, "op4_mixing": op4_mixing, "op5_secrets": op5_secrets, "op6_chat": op6_chat, "op8_tokens": op8_tokens, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
+    found = (op1_langid, op2_chunks, op3_topk, op4_mixing, op5_secrets, op6_chat, op7_decontaminate, op8_tokens, op9_quality, op10_simhash)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
