@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from orrery.plans import topology
+from orrery.plans import analytics, topology
 
-MODULES = (topology,)
+MODULES = (topology, analytics)
 
 
 def queries() -> dict[str, Callable]:
