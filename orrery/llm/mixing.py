@@ -148,9 +148,10 @@ def mixture(docs: DataFrame) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))
     lead = lambda b: F.greatest(F.lit(0), b * BLOCK - F.col("_start"))
     stop = lambda b: F.least(F.col("_size"), (b + 1) * BLOCK - F.col("_start"))
-    held = F.flatten(F.transform("_blocks", lambda b: F.slice("_words", (lead(b) + 1).cast("int"), (stop(b) - lead(b)).cast("int"))))
-    cut_text = F.when(F.col("_all"), F.col("text")).otherwise(F.array_join(held, ""))
-    out = each.join(parts, same).withColumn("_words", F.when(~F.col("_all"), words)).withColumn("text", cut_text)
+    held = lambda w: F.transform("_blocks", lambda b: F.array_join(F.slice(w, (lead(b) + 1).cast("int"), (stop(b) - lead(b)).cast("int")), ""))
+    # the array of one binds the words, so that they are cut once and not for each block
+    joined = F.array_join(F.flatten(F.transform(F.array(words), held)), "")
+    out = each.join(parts, same).withColumn("text", F.when(F.col("_all"), F.col("text")).otherwise(joined))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
