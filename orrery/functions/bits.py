@@ -43,17 +43,18 @@ def trailing_zeros(k: Column) -> Column:
 
 
 def mul64(a: Column, b: int) -> Column:
-    """a times a constant modulo 2^64, by 16-bit limbs."""
-    total = None
+    """a times a constant modulo 2^64: columns of 16-bit limb products, then carries."""
+    part = [F.shiftrightunsigned(a, 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
+    limb = [b >> (16 * k) & 0xFFFF for k in range(4)]
+    out, carry = None, None
     for at in range(4):
-        limb = b >> (16 * at) & 0xFFFF
-        if not limb:
-            continue
-        for of in range(4 - at):
-            part = F.shiftrightunsigned(a, 16 * of).bitwiseAND(F.lit(0xFFFF)) * F.lit(limb)
-            term = F.shiftleft(part, 16 * (at + of))
-            total = term if total is None else add64(total, term)
-    return F.lit(0).cast("long") if total is None else total
+        terms = [part[k] * F.lit(limb[at - k]) for k in range(at + 1)]
+        total = sum(terms[1:], terms[0])
+        total = total if carry is None else total + carry
+        low = F.shiftleft(total.bitwiseAND(F.lit(0xFFFF)), 16 * at)
+        out = low if out is None else out.bitwiseOR(low)
+        carry = F.shiftrightunsigned(total, 16)
+    return out
 
 
 def add64(a: Column, b: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from orrery.plans import analytics, topology
+from orrery.plans import analytics, records, topology
 
-MODULES = (topology, analytics)
+MODULES = (topology, analytics, records)
 
 
 def queries() -> dict[str, Callable]:
