@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words everywhere in this subpackage.
 SPACE = r"\x20\x09-\x0D"
+#: A column that operators add beside the caller's for a while.
+OWN = "_orrery_own"
+#: Texts in a batch that goes to Python.
+TEXTS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +34,22 @@ def scratch(spark: SparkSession) -> str:
     return named
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of few rows: texts can be long, and a batch is held
+    by Spark's Arrow writer and by the worker at once. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > TEXTS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(TEXTS))
+
+
+def trim() -> None:
+    """Give memory that arrays have left back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, so that no
     lost executor can make it be computed again."""
@@ -74,6 +95,7 @@ def map_texts(df: DataFrame, keep: list[str], made: str, work: Callable, text: s
 
     ``work(texts)`` returns the arrays of ``made``, one entry a text; or, for any number
     of rows a text, a pair of the texts' positions and those arrays."""
+    small_batches(df.sparkSession)
     names = [*keep, *(x.split()[0] for x in made.split(", "))]
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep), made])
 
@@ -87,5 +109,6 @@ def map_texts(df: DataFrame, keep: list[str], made: str, work: Callable, text: s
                     rows, got = pa.array(got[0], pa.int64()), got[1]
                     cut = [x.take(rows) for x in cut]
                 yield pa.RecordBatch.from_arrays([*cut, *(pa.array(x) for x in got)], names=names)
+        trim()
 
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_texts
+from orrery.llm.common import OWN, map_texts
 
 Q, RATE, FEWEST = 8, 0.1, 4
 WINDOW, SLICE = 1000, 4_000_000
@@ -229,7 +229,7 @@ def _matches(docs: DataFrame, keep: list[str], items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item."""
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    hit = _matches(marked, ["doc_id", "_hash"], items).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_leak")).distinct()
-    same = marked["doc_id"].eqNullSafe(F.col("_id")) & (marked["_hash"] == F.col("_leak"))
-    return marked.join(hit, same, "left_anti").drop("_hash")
+    marked = docs.withColumn(OWN, F.xxhash64("text"))
+    hit = _matches(marked, ["doc_id", OWN], items).select(F.col("doc_id").alias("_id"), F.col(OWN).alias("_leak")).distinct()
+    same = marked["doc_id"].eqNullSafe(hit["_id"]) & (marked[OWN] == hit["_leak"])
+    return marked.join(hit, same, "left_anti").drop(OWN)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import crc_of_id, map_texts, text_chunks
+from orrery.llm.common import crc_of_id, map_texts, small_batches, text_chunks
 
 BUCKETS = 1 << 16
 #: Added to each count; EM rounds; the least share of a language; cost of a language.
@@ -79,6 +79,7 @@ def count(labelled: DataFrame) -> DataFrame:
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(row[at], pa.int64())], names=["lang", "bucket", "n"])
 
+    small_batches(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, bucket int, n long")
     return rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import SPACE, saved
+from orrery.llm.common import OWN, SPACE, saved
 
 #: Words in a block, documents in a layout group, blocks in an output shard.
 BLOCK, GROUP, SHARD = 32, 1024, 1024
@@ -140,18 +140,19 @@ def mixture(docs: DataFrame) -> DataFrame:
     cut = pieces(placed)
     met = cut.join(drawn, cut["source"].eqNullSafe(drawn["_source"]) & (cut["block"] == drawn["_block"]))
     parts = met.groupBy("doc_id", "source", "row", "grp", "nth", "pass", "start", "size").agg(
-        F.array_sort(F.collect_list("block")).alias("_blocks"), (F.sum("words") == F.col("size")).alias("_all")
+        F.array_sort(F.collect_list("block")).alias("blocks"), (F.sum("words") == F.col("size")).alias("all")
     )
-    parts = parts.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "row", "start", "size")), "_blocks", "_all")
-    each = docs.withColumn("_of", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "source", "_of"])
-    same = each["doc_id"].eqNullSafe(parts["_doc_id"]) & each["source"].eqNullSafe(parts["_source"]) & (each["_of"] == parts["_row"])
+    parts = parts.select(*(F.col(c).alias(f"{OWN}_{c}") for c in ("doc_id", "source", "row", "start", "size", "blocks", "all")))
+    own = lambda c: F.col(f"{OWN}_{c}")
+    each = docs.withColumn(OWN, F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "source", OWN])
+    same = each["doc_id"].eqNullSafe(own("doc_id")) & each["source"].eqNullSafe(own("source")) & (each[OWN] == own("row"))
     words = F.regexp_extract_all("text", F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))
-    lead = lambda b: F.greatest(F.lit(0), b * BLOCK - F.col("_start"))
-    stop = lambda b: F.least(F.col("_size"), (b + 1) * BLOCK - F.col("_start"))
-    held = lambda w: F.transform("_blocks", lambda b: F.array_join(F.slice(w, (lead(b) + 1).cast("int"), (stop(b) - lead(b)).cast("int")), ""))
+    lead = lambda b: F.greatest(F.lit(0), b * BLOCK - own("start"))
+    stop = lambda b: F.least(own("size"), (b + 1) * BLOCK - own("start"))
+    held = lambda w: F.transform(own("blocks"), lambda b: F.array_join(F.slice(w, (lead(b) + 1).cast("int"), (stop(b) - lead(b)).cast("int")), ""))
     # the array of one binds the words, so that they are cut once and not for each block
     joined = F.array_join(F.flatten(F.transform(F.array(words), held)), "")
-    out = each.join(parts, same).withColumn("text", F.when(F.col("_all"), F.col("text")).otherwise(joined))
+    out = each.join(parts, same).withColumn("text", F.when(own("all"), F.col("text")).otherwise(joined))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

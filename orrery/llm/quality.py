@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import crc_of_id, map_texts
+from orrery.llm.common import OWN, crc_of_id, map_texts
 
 #: Bytes in a passage, labelled documents to fit on, encoding and attention widths.
 PASSAGE, LABELLED, WIDTH, GATE = 1000, 4000, 32, 16
@@ -168,7 +168,7 @@ def score(docs: DataFrame, keep: list[str], model: dict, name: str = "score") ->
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that a model of their own labels scores 0.5 or more."""
-    return score(docs, docs.columns, fit(docs, labels), "_quality").where("_quality >= 0.5").drop("_quality")
+    return score(docs, docs.columns, fit(docs, labels), OWN).where(F.col(OWN) >= 0.5).drop(OWN)
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import golay
-from orrery.llm.common import map_texts, saved
+from orrery.llm.common import OWN, map_texts, saved
 from orrery.llm.components import components
 
 SEED = 42
@@ -125,6 +125,6 @@ def one_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest doc_id."""
     prints = saved(with_fingerprint(docs, size), "prints")
     heads = saved(classes(prints).select("keep_id", "keep_hash").distinct(), "heads")
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    same = marked["doc_id"].eqNullSafe(heads["keep_id"]) & (marked["_hash"] == heads["keep_hash"])
-    return marked.join(heads, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    marked = docs.withColumn(OWN, F.xxhash64("text"))
+    same = marked["doc_id"].eqNullSafe(heads["keep_id"]) & (marked[OWN] == heads["keep_hash"])
+    return marked.join(heads, same, "left_semi").dropDuplicates(["doc_id", OWN]).drop(OWN)
