@@ -5,9 +5,9 @@ writes segments of about ``SEGMENT`` ids (one row: order, documents' ids, payloa
 Spark's Parquet writer into the shared folder, so the committer discards what lost tasks
 left. The format of a payload is in ``repair``.
 
-A single space between two characters that are not white space always starts a new
-token in byte-level BPE, so texts are cut there and each distinct piece is encoded by
-the library once while a task remembers it; a test compares with whole texts.
+Byte-level BPE never joins a word with the space, line end or mark that follows it, so
+texts are cut there and each distinct piece is encoded by the library once while a
+worker remembers it; a test compares with whole texts.
 
 Defined results: null text is empty and has the end id alone; null doc_ids come first;
 rows of one doc_id are ordered by text; an empty table gives an empty result; other
@@ -16,6 +16,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import os
+import string
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -26,30 +28,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm import repair
-from orrery.llm.common import ranges, saved
+from orrery.llm.common import ranges, saved, small_batches, trim
 
-#: Ids in a segment (and bytes encoded at once), pieces that a worker remembers, pieces encoded in one call's string.
-SEGMENT, REMEMBERED, JOINED = 1 << 19, 400_000, 256
+#: Ids in a segment, bytes encoded at once, pieces that a worker remembers, pieces encoded in one call's string.
+SEGMENT, AT_ONCE, REMEMBERED, JOINED = 1 << 19, 1 << 17, 800_000, 256
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 _MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def _flags(text: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(text.encode())] = True
+    return out
+
+
+_LETTERS, _MARKS = _flags(string.ascii_letters), _flags("".join(set(string.punctuation) - set("'|")))
+
+
 def piece_starts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where pieces start in the UTF-8 bytes of texts that start at ``starts``: at each text
-    and at single spaces between characters that are surely not white space. Those are
-    ASCII beyond the space and the letters of two bytes from U+00C0; others are not cut."""
-    cut = raw == 32
+    """Where pieces start in the UTF-8 bytes of texts that start at ``starts``.
+
+    At each text; at single spaces and around single line ends between characters that are
+    surely not white space (ASCII beyond the space, and those of two bytes from U+00C0); and
+    at ASCII marks behind a letter of ASCII or Latin-1, but for the apostrophe, which can
+    belong to the letters behind it, and the bar of the special tokens."""
     plain = (raw > 32) & (raw < 127)
     two = (raw >= 0xC3) & (raw <= 0xDF)
-    before = plain.copy()
+    after = plain | two
+    before = plain  # a character's last byte
     before[1:] |= two[:-1]
-    cut[1:] &= before[:-1]
-    cut[:-1] &= (plain | two)[1:]
-    if len(cut):
-        cut[0] = cut[-1] = False
+    letter = _LETTERS[raw]
+    letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    between = np.zeros(len(raw), bool)
+    between[1:-1] = before[:-2] & after[2:]
+    cut = (raw == 32) & between
     first = starts[starts < len(raw)]
     cut[first[first > 0] - 1] = False  # a text's last space
+    line = (raw == 10) & between
+    cut |= line
+    cut[1:] |= line[:-1] | _MARKS[raw[1:]] & letter[:-1]
     cut[first] = True
     return np.flatnonzero(cut)
 
@@ -61,6 +79,8 @@ class PieceEncoder:
     numpy arrays, so that only new pieces become Python strings."""
 
     def __init__(self, path: str):
+        # a task has one core; the library's own threads would only wait for it
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -73,14 +93,27 @@ class PieceEncoder:
         self.values = rng.integers(1, 1 << 63, (2, 256), np.uint64)
         self.base = [int(x) | 1 for x in rng.integers(1 << 62, 1 << 63, 2, np.uint64)]
         self.powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * 2
-        self._forget()
+        self._empty()
+
+    def _empty(self) -> None:
+        self.slots = 1 << (2 * REMEMBERED).bit_length()
+        self.rows = np.full(self.slots, -1, np.int32)
+        self.known = 0  # pieces; the arrays hold room for more
+        self.keys = np.zeros((2, REMEMBERED), np.uint64)
+        self.counts = np.zeros(REMEMBERED, np.int32)
+        self.ids, self.ends = np.zeros(4 * REMEMBERED, np.uint32), np.zeros(REMEMBERED + 1, np.int64)
 
     def _forget(self) -> None:
-        self.slots = 4 * REMEMBERED
-        self.slots = 1 << self.slots.bit_length()
-        self.keys = np.zeros((2, self.slots), np.uint64)
-        self.rows = np.full(self.slots, -1, np.int64)
-        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        """Keep the pieces that came again, at most half of what may be remembered."""
+        counts = self.counts[: self.known]
+        least = max(2, np.partition(counts, -self.known // 2)[-self.known // 2] + 1)
+        kept = np.flatnonzero(counts >= least)
+        keys, counts, sizes = self.keys[:, kept], counts[kept], self.ends[kept + 1] - self.ends[kept]
+        to = np.cumsum(sizes)
+        ids = self.ids[np.arange(int(sizes.sum())) + np.repeat(self.ends[kept] - (to - sizes), sizes)]
+        self._empty()
+        self._store(keys, ids, sizes)
+        self.counts[: self.known] = counts // 2
 
     def _hashes(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Two polynomial hashes of raw[begin:end], by prefix sums and inverse powers."""
@@ -88,7 +121,7 @@ class PieceEncoder:
         for k in range(2):
             up, down = self.powers[k]
             if len(up) <= len(raw):
-                n = max(1 << 20, 2 * len(raw))
+                n = len(raw) + (1 << 17)
                 up, down = np.full((2, n), self.base[k], np.uint64)
                 down[:] = pow(self.base[k], -1, 1 << 64)
                 up[0] = down[0] = 1
@@ -106,20 +139,27 @@ class PieceEncoder:
         """Rows of the pieces with these hashes, -1 for unknown ones."""
         out = np.full(keys.shape[1], -1, np.int64)
         slot = (keys[0] >> np.uint64(20)).astype(np.int64) & (self.slots - 1)
-        open_ = np.arange(keys.shape[1])
-        while len(open_):
+        left = np.arange(keys.shape[1])
+        while len(left):
             row = self.rows[slot]
-            same = (row >= 0) & (self.keys[0][slot] == keys[0][open_]) & (self.keys[1][slot] == keys[1][open_])
-            out[open_[same]] = row[same]
-            on = (row >= 0) & ~same
-            open_, slot = open_[on], (slot[on] + 1) & (self.slots - 1)
+            full = row >= 0
+            left, slot, row = left[full], slot[full], row[full]
+            same = (self.keys[0][row] == keys[0][left]) & (self.keys[1][row] == keys[1][left])
+            out[left[same]] = row[same]
+            left, slot = left[~same], (slot[~same] + 1) & (self.slots - 1)
         return out
 
     def _store(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         """New pieces, all different, with their ids one after another."""
-        row = len(self.ends) - 1 + np.arange(keys.shape[1])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, ids])
+        first, last, base = self.known, self.known + keys.shape[1], int(self.ends[self.known])
+        room = lambda x, n: x if x.shape[-1] >= n else np.concatenate([x, np.zeros((*x.shape[:-1], n), x.dtype)], axis=-1)
+        self.keys, self.counts, self.ends = room(self.keys, last), room(self.counts, last), room(self.ends, last + 1)
+        self.ids = room(self.ids, base + len(ids))
+        self.keys[:, first:last] = keys
+        self.ends[first + 1 : last + 1] = base + np.cumsum(sizes)
+        self.ids[base : base + len(ids)] = ids
+        self.known = last
+        row = np.arange(first, last)
         slot = (keys[0] >> np.uint64(20)).astype(np.int64) & (self.slots - 1)
         left = np.arange(keys.shape[1])
         while len(left):
@@ -127,7 +167,6 @@ class PieceEncoder:
             _, pick = np.unique(slot[free], return_index=True)
             won = free[pick]
             self.rows[slot[won]] = row[left[won]]
-            self.keys[:, slot[won]] = keys[:, left[won]]
             on = np.ones(len(left), bool)
             on[won] = False
             left, slot = left[on], (slot[on] + 1) & (self.slots - 1)
@@ -137,15 +176,18 @@ class PieceEncoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
-    def _joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces that may follow one another, many in one string; the bytes that
         the tokens stand for tell where each piece ends."""
-        ids, _ = self._library([b"".join(pieces[k : k + JOINED]).decode() for k in range(0, len(pieces), JOINED)])
+        size = end - begin
+        to = np.cumsum(size)
+        data = raw[np.arange(int(to[-1])) + np.repeat(begin - (to - size), size)].tobytes()
+        cuts = [0, *to[JOINED - 1 : -1 : JOINED].tolist(), len(data)]
+        ids, _ = self._library([data[a:b].decode() for a, b in zip(cuts, cuts[1:])])
         bytes_ = np.concatenate([[0], np.cumsum(self.width[ids])])
-        ends = np.cumsum([len(p) for p in pieces])
-        cut = np.searchsorted(bytes_, ends)
-        if cut[-1] != len(ids) or not np.array_equal(bytes_[cut], ends):  # a token crosses pieces
-            return self._library([p.decode() for p in pieces])
+        cut = np.searchsorted(bytes_, to)
+        if cut[-1] != len(ids) or not np.array_equal(bytes_[cut], to):  # a token crosses pieces
+            return self._library([data[b - n : b].decode() for b, n in zip(to.tolist(), size.tolist(), strict=True)])
         return ids, np.diff(cut, prepend=0)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +198,7 @@ class PieceEncoder:
 
     def encode_bytes(self, data: bytes, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same for texts data[whole[k]:whole[k + 1]] in UTF-8."""
-        if len(self.ends) > REMEMBERED:
+        if self.known > REMEMBERED:
             self._forget()
         raw = np.frombuffer(data, np.uint8)
         begin = piece_starts(raw, whole[:-1])
@@ -167,13 +209,14 @@ class PieceEncoder:
         if len(missing):
             _, one = np.unique(keys[0][missing], return_index=True)
             new = missing[np.sort(one)]
-            outer = np.isin(begin[new], whole[:-1]) | np.isin(end[new], whole[1:])
-            # white space at a text's ends could merge with what stands beside it
+            # pieces that start with a space and end before a text does can stand in a row
+            outer = (raw[begin[new]] != 32) | np.isin(begin[new], whole[:-1]) | np.isin(end[new], whole[1:])
             if len(inner := new[~outer]):
-                self._store(keys[:, inner], *self._joined([data[a:b] for a, b in zip(begin[inner].tolist(), end[inner].tolist(), strict=True)]))
+                self._store(keys[:, inner], *self._joined(raw, begin[inner], end[inner]))
             if len(alone := new[outer]):
                 self._store(keys[:, alone], *self._library([data[a:b].decode() for a, b in zip(begin[alone].tolist(), end[alone].tolist(), strict=True)]))
             rows[missing] = self._find(keys[:, missing])
+        np.add.at(self.counts, rows, 1)
         size = self.ends[rows + 1] - self.ends[rows]
         to = np.cumsum(size)
         total = int(to[-1]) if len(to) else 0
@@ -221,7 +264,7 @@ def write_files(docs: DataFrame, path: str | None = None) -> DataFrame:
             texts, keys = batch.column("text").cast(pa.large_binary()).fill_null(b""), batch.column("doc_id")
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             data = memoryview(texts.buffers()[2] or b"")
-            for a, b in ranges(np.diff(offsets), SEGMENT):
+            for a, b in ranges(np.diff(offsets), AT_ONCE):
                 flat, stops = encoder(path).encode_bytes(bytes(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a])
                 held.append(keys.slice(a, b - a))
                 ids.append(flat)
@@ -231,8 +274,10 @@ def write_files(docs: DataFrame, path: str | None = None) -> DataFrame:
                     held, ids, ends, segment = [], [], [], segment + 1
         if held:
             yield pack()
+        trim()
 
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     order = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
