@@ -59,6 +59,7 @@ def mul64(a: Column, b: int) -> Column:
 
 def add64(a: Column, b: Column) -> Column:
     """a + b modulo 2^64."""
+    a, b = a.cast("long"), b.cast("long")
     low = a.bitwiseAND(F.lit(0xFFFFFFFF)) + b.bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
     return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF)))

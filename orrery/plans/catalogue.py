@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from orrery.plans import analytics, records, topology
+from orrery.plans import analytics, records, streams, topology
 
-MODULES = (topology, analytics, records)
+MODULES = (topology, analytics, records, streams)
 
 
 def queries() -> dict[str, Callable]:
