@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import chat, chunks, decontaminate, langid, mixing, quality, secrets, simhash, tokens, topk
+from orrery.llm import chat, chunks, decontaminate, langid, mixing, quality, secrets, simhash, tokens, topk, twins
 from orrery.llm.common import table
 
 
@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_topk": twins.TOPK, "op5_secrets": twins.SECRETS, "op6_chat": twins.CHAT}
