@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orrery.functions import bits, cube, mixing64
-from orrery.operators import content, grid, ledger, states
+from orrery.operators import content, grid, ledger, states, validate
 from orrery.plans import sql
 from orrery.plans.inputs import cells, d1, d2
 from orrery.session import table
@@ -308,3 +308,62 @@ def uniform_rotation(spark, sf_dir):
     phase = F.pmod(F.unix_micros(F.col("o_orderdate").cast("timestamp")), F.lit(86164090531)) / F.lit(86164090531.0)
     half = F.pi() * phase
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.round(F.cos(half), 7) + 0.0).alias("qw"), (F.round(F.sin(half), 7) + 0.0).alias("qz"))
+
+
+#: Every part becomes a field; some are spoiled by their keys, so that each rule has breaches.
+_FIELD = {
+    "id": "concat('', p_partkey % 1900)",
+    "capability": "CASE WHEN p_partkey % 11 = 0 THEN 'nothing' ELSE 'topography' END",
+    "domain": "CASE p_partkey % 13 WHEN 0 THEN 'lost' WHEN 1 THEN 'shells' ELSE 'faces' END",
+    "semantic": "CASE WHEN p_partkey % 17 = 0 THEN 'vector.wind' ELSE 'scalar.height' END",
+    "persistence": "CASE WHEN p_partkey % 19 = 0 THEN 'dynamic' ELSE 'invariant' END",
+    "dtype": "CASE WHEN p_partkey % 23 = 0 THEN 'f64' ELSE 'i16' END",
+    "scale": "CASE p_partkey % 7 WHEN 0 THEN '0.0' WHEN 1 THEN '-1' ELSE '0.5' END",
+    "nodata": "CASE WHEN p_partkey % 5 = 0 THEN p_partkey * 100 END",
+    "interp": "CASE WHEN p_partkey % 3 = 0 THEN 'linear' ELSE 'bilinear' END",
+    "downsample": "CASE WHEN p_partkey % 29 = 0 THEN 'median' ELSE 'mean' END",
+    "native_level": "p_partkey % 12",
+    "slices": "p_size * 1500",
+    "compat": "CASE WHEN p_partkey % 4 = 0 THEN 'ancillary' ELSE 'critical' END",
+}
+_FIELD_SQL = "SELECT " + ", ".join(f"{x} AS {c}" for c, x in _FIELD.items()) + " FROM part"
+_DOMAINS = "(VALUES ('faces', 'cube', 10), ('shells', 'radial', 8)) AS d(id, topology, max_level)"
+
+
+@query(f"""WITH f AS ({_FIELD_SQL}), c AS (SELECT f.*, d.topology, d.max_level FROM f LEFT JOIN {_DOMAINS} ON f.domain = d.id WHERE compat = 'critical')
+SELECT 'field-semantic' AS code, id AS subject FROM c WHERE NOT regexp_matches(semantic, '^(scalar\\.[a-z_]+|category|feature_ref|flags)$') UNION ALL
+SELECT 'field-persistence', id FROM c WHERE persistence NOT IN ('invariant', 'periodic_mean', 'initial_state') UNION ALL SELECT 'field-dtype', id FROM c WHERE dtype = 'f64' UNION ALL
+SELECT 'field-scale', id FROM c WHERE scale IN ('0.0', '-1') UNION ALL SELECT 'field-nodata', id FROM c WHERE nodata IS NOT NULL AND (dtype = 'f64' OR nodata NOT BETWEEN -32768 AND 32767) UNION ALL
+SELECT 'field-interp', id FROM c WHERE CASE WHEN topology = 'radial' THEN interp <> 'linear' ELSE interp <> 'bilinear' END UNION ALL SELECT 'field-downsample', id FROM c WHERE downsample = 'median' UNION ALL
+SELECT 'field-level', id FROM c WHERE native_level > max_level UNION ALL SELECT 'field-temporal', id FROM c WHERE slices < 1 OR slices > 65535 UNION ALL
+SELECT 'field-duplicate', id FROM f GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'field-domain', id FROM c WHERE domain = 'lost' UNION ALL SELECT 'field-capability', id FROM c WHERE capability = 'nothing'""")
+def metadata_violations(spark, sf_dir):
+    """Every breach of the registry's rules, as rows."""
+    p = table(spark, sf_dir, "part").select(*(F.expr(x).alias(c) for c, x in _FIELD.items()))
+    domains = spark.sql(f"SELECT * FROM {_DOMAINS}")
+    known = spark.createDataFrame([(c,) for c in REQUIRES], "id string")
+    return validate.fields(p, domains, known)
+
+
+@query("SELECT count(*)::BIGINT AS fields, count(DISTINCT p_brand)::BIGINT AS capabilities, count(DISTINCT p_type)::BIGINT AS domains, count(*) FILTER (p_size > 25)::BIGINT AS large FROM part")
+def metadata_summary(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.agg(F.count(F.lit(1)).alias("fields"), F.count_distinct("p_brand").alias("capabilities"), F.count_distinct("p_type").alias("domains"), F.count_if(F.col("p_size") > 25).alias("large"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, (o_orderkey % 90) / 100e0 AS k, (o_custkey % 6283) / 1000e0 AS m FROM orders),
+e AS (SELECT id, k, m, list_reduce(list_concat([m + k * sin(m)], [0e0, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0]), lambda a, b: a - (a - k * sin(a) - m) / (1 - k * cos(a))) AS e FROM o)
+SELECT id, round(e, 6) AS anomaly, round(1 - k * cos(e), 6) AS radius FROM e""")
+def kepler_propagation(spark, sf_dir):
+    """Elliptic orbits at a mean anomaly: eccentric anomaly by twelve Newton steps, and radius."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("(o_orderkey % 90) / 100e0").alias("k"), F.expr("(o_custkey % 6283) / 1000e0").alias("m"))
+    step = lambda a, _: a - (a - F.col("k") * F.sin(a) - F.col("m")) / (1 - F.col("k") * F.cos(a))
+    e = o.withColumn("e", F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.col("m") + F.col("k") * F.sin("m"), step))
+    return e.select("id", F.round("e", 6).alias("anomaly"), F.round(1 - F.col("k") * F.cos("e"), 6).alias("radius"))
+
+
+@query("SELECT c_custkey AS id, (c_custkey::HUGEINT * 1000000000000 + 123456789012345678901::HUGEINT)::VARCHAR AS x FROM customer")
+def exact_frame_change(spark, sf_dir):
+    """Positions in integer micrometres moved by an exact offset beyond 64 bits."""
+    x = F.col("c_custkey").cast("decimal(38,0)") * F.lit("1000000000000").cast("decimal(19,0)") + F.lit("123456789012345678901").cast("decimal(38,0)")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), x.cast("decimal(38,0)").cast("string").alias("x"))

@@ -79,3 +79,22 @@ def test_ledger_as_a_stream(spark, tmp_path):
     chains.verified(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     got = {r.seq: r.error for r in spark.table(name).collect()}
     assert len(got) == 9 and got[5] in ("TamperedEntry", "BrokenChain", "InvalidEntry")
+
+
+def test_valid_metadata_breaks_no_rule(spark):
+    from orrery.operators import validate
+
+    form = "id string, capability string, domain string, semantic string, persistence string, dtype string, scale string, nodata long, interp string, downsample string, native_level int, slices int, compat string"
+    good = ("1", "topography", "faces", "scalar.height", "invariant", "i16", "0.5", -32768, "bilinear", "mean", 7, None, "critical")
+    fields = spark.createDataFrame([good], form).withColumn("slices", F.lit(12))
+    domains = spark.createDataFrame([("faces", "cube", 10)], "id string, topology string, max_level int")
+    known = spark.createDataFrame([("topography",), ("solid_surface",)], "id string")
+    assert validate.fields(fields, domains, known).count() == 0
+    requires = spark.createDataFrame([("topography", "solid_surface"), ("ocean", "topography")], "id string, needs string")
+    assert validate.capabilities(known, requires).count() == 0
+    assert [r.code for r in validate.capabilities(known.where("id = 'topography'"), requires).collect()] == ["capability-missing"]
+    # a null where a value is needed is a breach
+    assert {r.code for r in validate.fields(fields.withColumn("scale", F.lit(None).cast("string")), domains, known).collect()} == {"field-scale"}
+    index = spark.createDataFrame([("a", 1, "d1", None, "u8"), ("a", 2, None, 300, "u8"), ("a", 3, "d9", None, "u8"), ("a", 4, None, None, "u8")], "field_id string, key long, digest string, const_raw long, dtype string")
+    got = {tuple(r) for r in validate.content(index, spark.createDataFrame([("d1",)], "digest string")).collect()}
+    assert got == {("const-range", "2"), ("blob-missing", "3"), ("const-or-blob", "4")}
