@@ -1,9 +1,8 @@
 """Substring deduplication by content-defined chunking.
 
 A gear rolling hash over the last 16 characters proposes cuts where it falls into a set
-of density 1 / ``SPACING``; a cut with another proposal less than ``LEAST`` characters before it
-is left out. So cuts depend on nearby text alone, and an insertion moves no cut beyond
-its surroundings. Chunks are compared by a 64-bit digest; a chunk that another document
+of density 1 / ``SPACING``; a proposal less than ``LEAST`` characters behind a cut is left out. So
+cuts depend on nearby text, and fall together again soon after an insertion. Chunks are compared by a 64-bit digest; a chunk that another document
 has as well repeats. Repeating chunks side by side form regions, and regions of
 ``REGION`` characters or more, which hold several digests, are reported.
 
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from orrery.llm.common import map_texts, saved
 
 #: Mean distance of proposed cuts, least distance of cuts, characters of a region.
-SPACING, LEAST, REGION = 20, 12, 120
+SPACING, LEAST, REGION = 20, 12, 100
 _ROLL = 16
 _GEAR = np.random.default_rng(2).integers(0, 1 << 63, 4096, np.uint64)
 
@@ -41,8 +40,12 @@ def cuts(flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
     hit = np.flatnonzero(h >> np.uint64(40) < np.uint64((1 << 24) // SPACING)) + 1
     text = np.searchsorted(begins, hit - 1, "right") - 1
     hit = hit[hit - begins[text] >= _ROLL]  # the hash looks at this text alone
-    if len(hit):
-        hit = hit[np.concatenate([[True], np.diff(hit) >= LEAST])]
+    kept, last = [], -LEAST
+    for place in hit.tolist():
+        if place - last >= LEAST:
+            kept.append(place)
+            last = place
+    hit = np.array(kept, np.int64)
     return np.union1d(hit[hit < len(flat)], begins[begins < len(flat)])
 
 
