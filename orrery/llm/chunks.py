@@ -17,7 +17,6 @@ document do not count; an empty table gives an empty result; other columns are i
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
