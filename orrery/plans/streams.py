@@ -70,8 +70,12 @@ def tile_pack_roundtrip(spark, sf_dir):
 
 @query()
 def blake3_ids(spark, sf_dir):
-    """BLAKE3 identities of the distinct benchmark texts; no SQL engine here has BLAKE3."""
-    return table(spark, sf_dir, "benchmark").select("text").distinct().select(F.concat(F.lit("b3:"), codec.blake3_hex("text")).alias("id"), F.length("text").alias("size"))
+    """BLAKE3 identities of the distinct document texts; no SQL engine here has BLAKE3."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 500:  # documents can be long; a smaller setting stays
+        spark.conf.set(key, "500")
+    texts = table(spark, sf_dir, "documents").select("text").distinct()
+    return texts.select(F.concat(F.lit("b3:"), codec.blake3_hex("text")).alias("id"), F.length("text").alias("size"))
 
 
 @query("SELECT DISTINCT props AS props, replace(props, ' ', '') AS canonical FROM events")
