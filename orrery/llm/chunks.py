@@ -2,21 +2,27 @@
 
 A gear rolling hash over the last 16 characters proposes cuts where it falls into a set
 of density 1 / ``SPACING``; a proposal less than ``LEAST`` characters behind a cut is left out. So
-cuts depend on nearby text, and fall together again soon after an insertion. Chunks are compared by a 64-bit digest; a chunk that another document
-has as well repeats. Repeating chunks side by side form regions, and regions of
-``REGION`` characters or more, which hold several digests, are reported.
+cuts depend on nearby text, and fall together again soon after an insertion. Chunks are
+compared by a 128-bit digest; a chunk that another document has as well repeats. Repeating
+chunks side by side form regions, and regions of ``REGION`` characters or more are reported.
 
-The document with the smallest doc_id that holds a chunk keeps it; elsewhere the region
-is removable. Spans are code points, end exclusive.
+The document with the smallest doc_id that holds a chunk keeps it; elsewhere the chunk, and
+the region of such chunks, is removable. Spans are code points, end exclusive.
 
-Defined results: null and empty texts have no chunk; rows that share a doc_id are one
-document (null is an id of its own, and the smallest); chunks that repeat only inside one
-document do not count; an empty table gives an empty result; other columns are ignored.
+A digest that many rows share is met by a broadcast instead of a shuffle: digests of more
+than 1 / ``HOT`` of all chunks, of which there are fewer than ``HOT``.
+
+Defined results: null and empty texts have no chunk; each row has regions of its own text,
+which ``text_hash`` (its XXH64) names; rows that share a doc_id are one document when it comes
+to what other documents hold (null is an id of its own, and the smallest); chunks that
+repeat only inside one document do not count; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +31,8 @@ from orrery.llm.common import map_texts, saved
 
 #: Mean distance of proposed cuts, least distance of cuts, characters of a region.
 SPACING, LEAST, REGION = 20, 12, 100
+#: Digests that a broadcast may hold.
+HOT = 50_000
 _ROLL = 16
 _GEAR = np.random.default_rng(2).integers(0, 1 << 63, 4096, np.uint64)
 
@@ -55,34 +63,42 @@ def chunk_texts(texts: list[str | None]) -> tuple[np.ndarray, list]:
     begins = np.cumsum(size) - size
     if not whole:
         none = np.zeros(0, np.int64)
-        return none, [none.astype(np.int32), none, none.astype(np.int32), none.astype(np.int32)]
+        return none, [none.astype(np.int32), pa.array([], pa.binary()), none.astype(np.int32), none.astype(np.int32)]
     flat = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
     start = cuts(flat, begins[size > 0])
     end = np.append(start[1:], len(flat))
     raw = memoryview(flat).cast("B")
-    digest = xxhash.xxh3_64_intdigest
-    got = np.fromiter((digest(raw[a:b]) for a, b in zip((4 * start).tolist(), (4 * end).tolist(), strict=True)), np.uint64, len(start))
+    digest = xxhash.xxh3_128_digest
+    got = b"".join(digest(raw[a:b]) for a, b in zip((4 * start).tolist(), (4 * end).tolist(), strict=True))
+    got = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.arange(0, len(got) + 1, 16, np.int32)), pa.py_buffer(got)])
     full = np.flatnonzero(size > 0)
     text = full[np.searchsorted(begins[full], start, "right") - 1]
     number = np.arange(len(start)) - np.searchsorted(text, text, "left")
-    return text, [number.astype(np.int32), got.view(np.int64), (start - begins[text]).astype(np.int32), (end - begins[text]).astype(np.int32)]
+    return text, [number.astype(np.int32), got, (start - begins[text]).astype(np.int32), (end - begins[text]).astype(np.int32)]
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """(doc_id, number, digest, start, end) of every chunk."""
-    kept = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
-    return map_texts(kept, ["doc_id"], "number int, digest long, start int, end int", chunk_texts)
+    """(doc_id, text_hash, row, number, digest, start, end) of every chunk; ``row`` tells the
+    rows of ``docs`` apart once this is saved."""
+    kept = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), "text")
+    return map_texts(kept, ["doc_id", "text_hash", "row"], "number int, digest binary, start int, end int", chunk_texts)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, chunks, first_doc, removable): the repeating regions."""
+    """(doc_id, text_hash, start, end, chunks, first_doc, keepers, removable): the repeating
+    regions. ``keepers`` are the documents that keep its chunks, ``first_doc`` is the least."""
     chunks = saved(chunked(docs), "chunks")
-    shared = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    met = chunks.join(shared, "digest").withColumn("removable", F.col("first_doc") < F.col("doc_id"))
-    run = Window.partitionBy("doc_id", "removable").orderBy("number")
-    island = met.withColumn("island", F.col("number") - F.dense_rank().over(run))
-    regions = island.groupBy("doc_id", "removable", "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count_distinct("number").alias("chunks"), F.min("first_doc").alias("first_doc")
+    who = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")  # null is the smallest
+    shared = chunks.groupBy("digest").agg(F.min(who).alias("first"), F.max(who).alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = saved(shared.where("first < last").select("digest", "first", "n"), "shared")
+    often = F.col("n") > max(1000, chunks.count() // HOT)
+    hot = F.broadcast(shared.where(often).drop("n"))  # fewer than HOT rows of a few bytes
+    met = chunks.join(hot, "digest").unionByName(chunks.join(hot, "digest", "left_anti").join(shared.where(~often).drop("n"), "digest"))
+    met = met.withColumn("removable", ~F.col("first.doc_id").eqNullSafe(F.col("doc_id")))
+    run = Window.partitionBy("row", "removable").orderBy("number")
+    island = met.withColumn("island", F.col("number") - F.row_number().over(run))
+    regions = island.groupBy("row", "doc_id", "text_hash", "removable", "island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("chunks"), F.array_sort(F.collect_set("first")).alias("keepers")
     )
-    own = lambda c: F.when(F.col(c) > -(1 << 63), F.col(c)).alias(c)
-    return regions.where(F.col("end") - F.col("start") >= REGION).select(own("doc_id"), "start", "end", "chunks", own("first_doc"), "removable")
+    long = regions.where(F.col("end") - F.col("start") >= REGION)
+    return long.select("doc_id", "text_hash", "start", "end", "chunks", F.col("keepers")[0]["doc_id"].alias("first_doc"), F.transform("keepers", lambda x: x["doc_id"]).alias("keepers"), "removable")

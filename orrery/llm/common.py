@@ -24,22 +24,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset, a temporary folder
+    serves a local session; on a cluster its absence is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-"))
-        named = sc.getCheckpointDir()
-    return named
+    if named:
+        return named
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _local:
+        _local[sc.applicationId] = tempfile.mkdtemp(prefix="orrery-")
+    return _local[sc.applicationId]
+
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Set up a session for long texts; the queries and the pipeline's stages call it for
+    the session they are given, the operators never change a session's settings.
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in batches of few rows: texts can be long, and a batch is held
-    by Spark's Arrow writer and by the worker at once. A smaller setting stays."""
+    Texts go to Python in batches of few rows, as Spark's Arrow writer and the worker both
+    hold a batch. A smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > TEXTS or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(TEXTS))
+    return spark
 
 
 def trim() -> None:
@@ -50,13 +61,16 @@ def trim() -> None:
         pass
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, so that no
-    lost executor can make it be computed again."""
+    lost executor can make it be computed again. ``spent`` are tables that ``saved``
+    made and that nothing reads any more once this one is written; they are deleted."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.saved_path = path
+    for one in spent:
+        discard(one)
     return out
 
 
@@ -95,7 +109,6 @@ def map_texts(df: DataFrame, keep: list[str], made: str, work: Callable, text: s
 
     ``work(texts)`` returns the arrays of ``made``, one entry a text; or, for any number
     of rows a text, a pair of the texts' positions and those arrays."""
-    small_batches(df.sparkSession)
     names = [*keep, *(x.split()[0] for x in made.split(", "))]
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep), made])
 

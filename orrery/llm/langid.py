@@ -6,6 +6,10 @@ that make its trigrams likeliest, and languages are dropped as long as that rais
 penalised likelihood (each language costs ``PENALTY`` times log n; a letter is in three
 trigrams, so the likelihood counts a third). The largest share names the language.
 
+Languages beyond ``SLICE`` are taken slice by slice: the languages that a document kept so far
+stand against those of the next slice, so a task holds one slice of the model, whatever
+the number of languages.
+
 Defined results: a null text or one without a letter is ``und`` with score 0, as is
 every text where nothing was learned; ties go to the smaller name; repeated rows each
 get a row; an empty table gives an empty result; other columns are never read.
@@ -21,13 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import crc_of_id, map_texts, small_batches, text_chunks
+from orrery.llm.common import crc_of_id, map_texts, saved, text_chunks
 
 BUCKETS = 1 << 16
-#: Added to each count; EM rounds; the least share of a language; cost of a language.
-SMOOTH, ROUNDS, LEAST, PENALTY = 0.5, 12, 0.02, 2.0
-#: A bound on the model's size; languages beyond it are an error, not dropped.
-MOST_LANGUAGES = 256
+#: Added to each count; EM rounds; cost of a language; languages in a slice of the model.
+SMOOTH, ROUNDS, PENALTY, SLICE = 0.5, 12, 2.0, 64
 _LETTER = re.compile(r"[^\W\d_]")
 _kept: np.ndarray | None = None
 
@@ -62,6 +64,12 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def count(labelled: DataFrame) -> DataFrame:
     """(lang, bucket, n) over all rows of ``labelled`` (text, lang), summed in each task first."""
 
+    def given(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, row in sums.items():
+            at = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(row[at], pa.int64())], names=["lang", "bucket", "n"])
+        sums.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -70,55 +78,71 @@ def count(labelled: DataFrame) -> DataFrame:
                 found, ends = trigrams(texts[a:b])
                 names, which = np.unique(np.array(langs[a:b], object).astype(str), return_inverse=True)
                 owner = np.repeat(which, np.diff(ends, prepend=0))
-                got = np.bincount(owner * BUCKETS + found, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
-                for name, row in zip(names.tolist(), got, strict=True):
+                for k, name in enumerate(names.tolist()):
+                    if len(sums) >= SLICE and name not in sums:
+                        yield from given(sums)
+                    row = np.bincount(found[owner == k], minlength=BUCKETS)
                     sums[name] = sums[name] + row if name in sums else row
-                    if len(sums) > MOST_LANGUAGES:
-                        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-        for name, row in sums.items():
-            at = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(row[at], pa.int64())], names=["lang", "bucket", "n"])
+        yield from given(sums)
 
-    small_batches(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, bucket int, n long")
     return rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
+def table_of(counts: DataFrame) -> tuple[list[str], np.ndarray]:
     """Names in order and P(bucket | language) as a (BUCKETS, languages) table."""
-    got = count(labelled).toArrow()
-    names = sorted(set(got.column("lang").to_pylist()))
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    got = counts.toArrow()
+    names, which = np.unique(np.array(got.column("lang").to_pylist(), object).astype(str), return_inverse=True)
     table = np.full((BUCKETS, len(names)), SMOOTH)
-    where = {n: k for k, n in enumerate(names)}
-    table[got.column("bucket").to_numpy(), [where[n] for n in got.column("lang").to_pylist()]] += got.column("n").to_numpy()
-    return names, (table / table.sum(axis=0, keepdims=True)).astype(np.float32)
+    table[got.column("bucket").to_numpy(), which] += got.column("n").to_numpy()
+    return names.tolist(), (table / table.sum(axis=0, keepdims=True)).astype(np.float32)
+
+
+def fit(labelled: DataFrame) -> list[tuple[list[str], np.ndarray]]:
+    """The model: tables of about ``SLICE`` languages or fewer, all of them together."""
+    counts = saved(count(labelled), "trigrams")
+    known = counts.agg(F.count_distinct("lang")).first()[0]
+    if known <= SLICE:
+        return [table_of(counts)]
+    slices = -(-2 * known // SLICE)
+    return [table_of(counts.where(F.pmod(F.xxhash64("lang"), F.lit(slices)) == k)) for k in range(slices)]
 
 
-def _shares(chances: np.ndarray, weight: np.ndarray | None, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+def _shares(chances: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """EM for the shares of the columns of ``chances``, and the log likelihood."""
     share = np.full(chances.shape[1], 1 / chances.shape[1], np.float32)
-    total = len(chances) if weight is None else weight.sum()
+    total = weight.sum()
     for _ in range(rounds):
-        whole = chances @ share
-        part = (1 / whole if weight is None else weight / whole) @ chances
+        part = (weight / (chances @ share)) @ chances
         share = (share * part / total).astype(np.float32)
-    logs = np.log(chances @ share)
-    return share, float(logs.sum() if weight is None else logs @ weight)
+    return share, float(np.log(chances @ share) @ weight)
+
+
+def _hopeless(chances: np.ndarray, weight: np.ndarray, share: np.ndarray, cost: float) -> np.ndarray:
+    """Columns that surely raise the penalised likelihood by going, one after another, the
+    least share first: the other shares, scaled up to 1, lose at most what is summed here."""
+    order = np.argsort(share, kind="stable")
+    part = (chances * share)[:, order]
+    less = np.minimum(np.cumsum(part, axis=1)[:, :-1] / part.sum(axis=1, keepdims=True), 1 - 1e-6)
+    gone = np.minimum(np.cumsum(share[order])[:-1] / share.sum(), 1 - 1e-6)
+    loss = weight @ -np.log1p(-less) + weight.sum() * np.log1p(-gone)
+    stay = np.flatnonzero(np.diff(loss, prepend=0) > cost)
+    return order[: stay[0] if len(stay) else len(loss)]
 
 
 def mixture(chances: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(columns, shares) of the language set with the best penalised likelihood."""
-    n = len(chances) if weight is None else weight.sum()
-    share, value = _shares(chances, weight)
-    live = np.flatnonzero(share >= max(LEAST, 1e-9))
-    if not len(live):
-        live = np.array([int(share.argmax())])
+    """(columns, shares) of the language set with the best penalised likelihood; a row of
+    ``chances`` is a trigram that occurs ``weight`` times (once without)."""
+    weight = np.ones(len(chances), np.float32) if weight is None else weight
+    live = np.arange(chances.shape[1])
     if len(live) == 1:
         return live, np.ones(1)
-    share, value = _shares(chances[:, live], weight)
-    cost = PENALTY * np.log(n + 1) * 3
+    cost = PENALTY * np.log(weight.sum() + 1) * 3
+    share, value = _shares(chances, weight)
+    drop = _hopeless(chances, weight, share, cost)
+    if len(drop):
+        live = np.setdiff1d(live, drop)
+        share, value = _shares(chances[:, live], weight)
     while len(live) > 1:
         less = np.delete(live, int(share.argmin()))
         fewer, worse = _shares(chances[:, less], weight)
@@ -128,29 +152,55 @@ def mixture(chances: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.n
     return live, share / share.sum()
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def predict(docs: DataFrame, model: list[tuple[list[str], np.ndarray]]) -> DataFrame:
     """(doc_id, lang_pred, score, mixture); mixture lists the languages with their shares."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows, held, spent = docs, "text", ()
+    for part in model[:-1]:
+        kept = map_texts(rows, ["doc_id"], _HELD, _step(docs, part, False), text=held)
+        rows = saved(kept.select("doc_id", F.struct("text", "names", "chances").alias("held")), "languages", *spent)
+        held, spent = "held", (rows,)
+    return map_texts(rows, ["doc_id"], "lang_pred string, score double, mixture string", _step(docs, model[-1], True), text=held)
+
 
-    def work(texts: list[str | None]) -> list:
+_HELD = "text string, names array<string>, chances binary"
+
+
+def _step(docs: DataFrame, part: tuple[list[str], np.ndarray], last: bool):
+    """The languages of a slice against those kept before; ``chances`` holds the latters'
+    probabilities of the text's distinct trigrams, so that their slice is not needed again."""
+    shared = docs.sparkSession.sparkContext.broadcast(part)
+
+    def work(held: list) -> list:
         names, table = shared.value
+        held = [h if isinstance(h, dict) else {"text": h, "names": None, "chances": None} for h in held]
+        texts = [h["text"] for h in held]
         found, ends = trigrams(texts)
         start, out = 0, []
-        for text, end in zip(texts, ends, strict=True):
+        for h, end in zip(held, ends, strict=True):
             own, start = found[start:end], end
-            if not names or not len(own) or not _LETTER.search(text or ""):
+            if not len(own) or not _LETTER.search(h["text"] or ""):
+                out.append(("und", 0.0, "") if last else (h["text"], None, None))
+                continue
+            own, times = np.unique(own, return_counts=True)
+            known, chances = names, table[own]
+            if h["names"]:
+                chances = np.concatenate([np.frombuffer(h["chances"], np.float32).reshape(len(own), -1), chances], axis=1)
+                known = h["names"] + names
+                order = sorted(range(len(known)), key=known.__getitem__)
+                known, chances = [known[k] for k in order], chances[:, order]
+            if not known:
                 out.append(("und", 0.0, ""))
                 continue
-            weight = None
-            if len(own) > 20_000:
-                own, times = np.unique(own, return_counts=True)
-                weight = times.astype(np.float32)
-            live, share = mixture(table[own], weight)
-            best = max(range(len(live)), key=lambda k: (share[k], -live[k]))
-            out.append((names[live[best]], float(min(1.0, share[best])), ",".join(f"{names[c]}:{s:.4f}" for c, s in zip(live, share, strict=True))))
-        return [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.string()))]
-
-    return map_texts(docs, ["doc_id"], "lang_pred string, score double, mixture string", work)
+            live, share = mixture(chances, times.astype(np.float32))
+            if last:
+                best = max(range(len(live)), key=lambda k: (share[k], -live[k]))
+                out.append((known[live[best]], float(min(1.0, share[best])), ",".join(f"{known[c]}:{s:.4f}" for c, s in zip(live, share, strict=True))))
+            else:
+                out.append((h["text"], [known[c] for c in live], np.ascontiguousarray(chances[:, live]).tobytes()))
+        kinds = (pa.string(), pa.float64(), pa.string()) if last else (pa.string(), pa.list_(pa.string()), pa.binary())
+        return [pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)]
+
+    return work
 
 
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:

@@ -1,8 +1,9 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-The words of each source form one stream, cut into blocks of ``BLOCK`` words. The mix
-is a sequence of slots of one block each, grouped into output shards. Every slot draws a
-source, so a shard's source counts are multinomial. A source's slots are numbered in
+The words of each source form one stream, cut into blocks of ``BLOCK`` words (fewer in
+small sources, so that they have ``FEWEST`` blocks and a partial last one weighs little).
+The mix is a sequence of slots of one block each, grouped into output shards. Every slot draws
+a source, so a shard's source counts are multinomial. A source's slots are numbered in
 shard order and rescaled to its exact quota; slot t of a source with n blocks takes
 position t mod n of pass t div n, and a keyed permutation of [0, n) for that source and
 pass gives the block. Slots and the documents' pieces meet in one join on (source, block).
@@ -10,7 +11,7 @@ No source is asked for more than two passes, so no document exceeds twice its si
 
 Everything is keyed by hashes of stable columns: reruns agree on any cluster. A stream
 is laid out by groups of about ``GROUP`` documents (hash of doc_id), so a source with a
-third of all rows is never ordered in one task.
+third of all rows is never ordered in one task; nor are the sources, if they are many.
 
 Defined results: null text has size 0 and is taken 0 times; null is a source of its
 own, last in order; repeated rows each get a row and a place in the stream; an empty
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import OWN, SPACE, saved
 
-#: Words in a block, documents in a layout group, blocks in an output shard.
-BLOCK, GROUP, SHARD = 32, 1024, 1024
+#: Words in a block, least blocks of a source, documents in a layout group, blocks in an output
+#: shard, slots in a partition, rows in a range of running sums, cells of the slots' line.
+BLOCK, FEWEST, GROUP, SHARD, DEAL, RANGE, CELLS = 32, 64, 1024, 1024, 1 << 18, 1 << 16, 1 << 16
 #: Weights by the code-point order of the sources, repeating; the mix's share of all words.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-SEED, ROUNDS = 20, 8
+SEED, ROUNDS = 20, 16
 
 
 def permuted(df: DataFrame, x: str, n: str, key: str) -> DataFrame:
@@ -42,66 +44,92 @@ def permuted(df: DataFrame, x: str, n: str, key: str) -> DataFrame:
     return df.drop("_other")
 
 
+def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """``df`` with, for each name, the sum of a column over the rows before in ``order``;
+    ranges of rows are summed in parallel and their totals carried forward."""
+    parts = 1 + df.count() // RANGE
+    dealt = df.withColumns({f"_{k}": x for k, x in sums.items()}).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    dealt = saved(dealt, "running")
+    here = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    totals = dealt.groupBy("_part").agg(*(F.sum(f"_{k}").alias(f"_{k}") for k in sums))
+    offsets = totals.select("_part", *(zero(F.sum(f"_{k}").over(earlier)).alias(f"_{k}_o") for k in sums))
+    inside = dealt.select("*", *(zero(F.sum(f"_{k}").over(here)).alias(k) for k in sums))
+    out = inside.join(F.broadcast(offsets), "_part").withColumns({k: F.col(k) + F.col(f"_{k}_o") for k in sums})
+    return out.select(*df.columns, *sums)
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size) -> with ``target`` words: the share divided by weight, where
     a source's target stops at MOST times its size and the rest is shared again.
 
     Sources in order of cap over weight reach their cap first; so the level at which
     the k first are capped follows from running sums."""
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    cap = MOST * F.col("source_size")
-    whole = Window.partitionBy()
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        sizes.withColumn("weight", weight.cast("double"))
-        .withColumn("cap", cap.cast("double"))
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("left", F.sum("source_size").over(whole) * F.lit(SHARE) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", F.when(F.col("left") < F.col("ratio") * F.col("open"), F.col("left") / F.col("open")))
-        .withColumn("level", F.first("level", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))))
-        .select("source", "source_size", "target")
-    )
+    name = F.col("source").asc_nulls_last()
+    ranked = running(sizes, [name], _rank=F.lit(1))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("_rank") % len(WEIGHTS) + 1).cast("int")).cast("double")
+    ranked = ranked.withColumn("weight", weight).withColumn("cap", (MOST * F.col("source_size")).cast("double"))
+    ranked = ranked.withColumn("ratio", F.col("cap") / F.col("weight")).drop("_rank")
+    order = [F.col("ratio"), name]
+    summed = saved(running(ranked, order, _caps=F.col("cap"), _weights=F.col("weight")), "targets")
+    whole = summed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    left = F.lit(float(SHARE * (whole["size"] or 0))) - F.col("_caps")
+    open_ = F.lit(float(whole["weight"] or 0)) - F.col("_weights")
+    stop = summed.where(left < F.col("ratio") * open_)
+    level = stop.agg(F.min_by(left / open_, F.struct("ratio", F.col("source").isNull(), "source"))).first()[0]
+    target = F.col("cap") if level is None else F.least("cap", F.lit(level) * F.col("weight"))
+    return summed.select("source", "source_size", target.alias("target"))
+
+
+def _row(name: str) -> list[Column]:
+    """128 bits that stand for a row's doc_id, source and text."""
+    absent = [F.isnull(c) for c in ("doc_id", "source", "text")]  # a hash passes over nulls
+    own = [F.xxhash64("doc_id", "source", "text", *absent), F.xxhash64(F.lit(SEED), *absent, "text", "source", "doc_id")]
+    return [x.alias(f"{name}{k}") for k, x in enumerate(own)]
 
 
 def laid_out(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, start): each document's place in its source's stream."""
+    """(doc_id, source, size, start, width, ...): each document's place in its source's
+    stream, and the words of a block of that source."""
     words = F.coalesce(F.regexp_count("text", F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
-    sized = saved(docs.select("doc_id", "source", words.alias("size"), F.xxhash64("doc_id", "text").alias("row")), "sizes")
+    sized = saved(docs.select("doc_id", "source", words.alias("size"), *_row("row")), "sizes")
     groups = max(1, sized.count() // GROUP)
-    sized = sized.withColumn("grp", F.pmod(F.xxhash64("doc_id", "row"), F.lit(groups)))
+    sized = sized.withColumn("grp", F.pmod(F.xxhash64("doc_id", "row0"), F.lit(groups)))
     sums = sized.groupBy("source", "grp").agg(F.sum("size").alias("words"))
-    starts = sums.select(F.col("source").alias("_source"), F.col("grp").alias("_grp"), (F.sum("words").over(Window.partitionBy("source").orderBy("grp")) - F.col("words")).alias("base"))
-    inside = Window.partitionBy("source", "grp").orderBy("doc_id", "row", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of = Window.partitionBy("source")
+    width = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.expr(f"total div {FEWEST}")))
+    starts = sums.select("source", "grp", (F.sum("words").over(of.orderBy("grp")) - F.col("words")).alias("base"), F.sum("words").over(of).alias("total"))
+    starts = starts.select(F.col("source").alias("_source"), F.col("grp").alias("_grp"), "base", width.alias("width"))
+    inside = Window.partitionBy("source", "grp").orderBy("doc_id", "row0", "row1", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # a place of its own for every row, so that repeated rows stay apart
     placed = sized.withColumn("start", F.sum("size").over(inside) - F.col("size")).withColumn("nth", F.row_number().over(inside))
     here = F.col("source").eqNullSafe(F.col("_source")) & (F.col("grp") == F.col("_grp"))
-    return placed.join(starts, here).select("doc_id", "source", "size", "row", "grp", "nth", (F.col("start") + F.col("base")).alias("start"))
+    return placed.join(starts, here).select("doc_id", "source", "size", "row0", "row1", "grp", "nth", (F.col("start") + F.col("base")).alias("start"), "width")
 
 
 def quotas(placed: DataFrame) -> DataFrame:
     """(source, source_size, target, blocks, slots, first): slots is the source's quota and
     first the place of its range in [0, sum of slots)."""
-    sums = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
-    blocks = F.ceil(F.col("source_size") / BLOCK)
+    sums = saved(placed.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("width").alias("width")), "sources")
+    plan = targets(sums.select("source", "source_size")).alias("t").join(sums.select(F.col("source").alias("_source"), "width"), F.col("source").eqNullSafe(F.col("_source")))
+    plan = plan.withColumn("blocks", F.ceil(F.col("source_size") / F.col("width")))
     slots = F.when(F.col("source_size") > 0, F.least(MOST * F.col("blocks"), F.round(F.col("target") * F.col("blocks") / F.col("source_size")))).otherwise(0)
-    return (
-        targets(sums)
-        .withColumn("blocks", blocks)
-        .withColumn("slots", slots.cast("long"))
-        .withColumn("first", F.sum("slots").over(Window.orderBy(F.col("source").asc_nulls_last())) - F.col("slots"))
-    )
+    plan = saved(plan.select("source", "source_size", "target", "blocks", slots.cast("long").alias("slots")), "plan")
+    return running(plan, [F.col("source").asc_nulls_last()], first=F.col("slots"))
 
 
 def draws(plan: DataFrame) -> DataFrame:
     """(source, block, pass): the blocks that the mix takes, one row a slot."""
-    spark, span = plan.sparkSession, 4096
-    total = plan.agg(F.sum("slots")).first()[0] or 0
+    spark = plan.sparkSession
+    total, sources = plan.agg(F.sum("slots"), F.count(F.lit(1))).first()
+    total = total or 0
+    span = max(4096, total // CELLS)
     slot = spark.range(total).withColumn("u", F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(max(1, total))))
     last = F.col("first") + F.col("slots") - 1
     ranges = plan.where("slots > 0").select("source", "first", last.alias("last"), F.explode(F.sequence(F.floor(F.col("first") / span), F.floor(last / span))).alias("cell"))
+    if sources <= CELLS:  # then there are 2 CELLS ranges at most
+        ranges = F.broadcast(ranges)
     drawn = slot.withColumn("cell", F.floor(F.col("u") / span)).join(ranges, "cell").where("u between first and last")
     counts = drawn.groupBy("source", F.floor(F.col("id") / SHARD).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     run = Window.partitionBy("source").orderBy("shard")
@@ -114,7 +142,8 @@ def draws(plan: DataFrame) -> DataFrame:
         "source", "blocks", F.coalesce(scaled("(upto - n)"), F.lit(0)).alias("lo"), F.coalesce(scaled("upto"), F.col("slots")).alias("hi")
     ).where("lo < hi")
     # a source's shards came together for the running sums; each is laid out on its own
-    slots = shares.repartition("source", "lo").select("source", "blocks", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("t"))
+    dealt = shares.repartition(max(1, -(-total // DEAL)), "source", "lo")
+    slots = dealt.select("source", "blocks", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("t"))
     turn = F.floor(F.col("t") / F.col("blocks"))
     key = F.xxhash64(F.lit(SEED), F.coalesce("source", F.lit("")), F.col("source").isNull(), turn)
     keyed = slots.select("source", "blocks", F.pmod("t", "blocks").alias("block"), turn.alias("pass"), key.alias("_key"))
@@ -124,8 +153,9 @@ def draws(plan: DataFrame) -> DataFrame:
 def pieces(placed: DataFrame) -> DataFrame:
     """The documents' words by block: (..., block, words)."""
     last = F.col("start") + F.col("size") - 1
-    cut = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(last / BLOCK))))
-    words = F.least(last, F.col("block") * BLOCK + (BLOCK - 1)) - F.greatest("start", F.col("block") * BLOCK) + 1
+    width = F.col("width")
+    cut = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(last / width))))
+    words = F.least(last, F.col("block") * width + (width - 1)) - F.greatest("start", F.col("block") * width) + 1
     return cut.withColumn("words", words)
 
 
@@ -134,21 +164,25 @@ def mixture(docs: DataFrame) -> DataFrame:
     with its columns and those words in order as its text (the text itself where all
     were). A column n_chars follows the text. Documents without words are not drawn.
 
-    Rows that agree in doc_id, source and text stand for one another."""
+    Rows that agree in doc_id, source and text stand for one another; where their other
+    columns differ, those of the least row are taken."""
     placed = saved(laid_out(docs), "placed")
     drawn = saved(draws(saved(quotas(placed), "quotas")), "draws").withColumnsRenamed({"source": "_source", "block": "_block"})
     cut = pieces(placed)
     met = cut.join(drawn, cut["source"].eqNullSafe(drawn["_source"]) & (cut["block"] == drawn["_block"]))
-    parts = met.groupBy("doc_id", "source", "row", "grp", "nth", "pass", "start", "size").agg(
+    parts = met.groupBy("doc_id", "source", "row0", "row1", "grp", "nth", "pass", "start", "size", "width").agg(
         F.array_sort(F.collect_list("block")).alias("blocks"), (F.sum("words") == F.col("size")).alias("all")
     )
-    parts = parts.select(*(F.col(c).alias(f"{OWN}_{c}") for c in ("doc_id", "source", "row", "start", "size", "blocks", "all")))
+    parts = parts.select(*(F.col(c).alias(f"{OWN}_{c}") for c in ("row0", "row1", "start", "size", "width", "blocks", "all")))
     own = lambda c: F.col(f"{OWN}_{c}")
-    each = docs.withColumn(OWN, F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "source", OWN])
-    same = each["doc_id"].eqNullSafe(own("doc_id")) & each["source"].eqNullSafe(own("source")) & (each[OWN] == own("row"))
+    # one shuffle of the texts, by the hashes that the join uses as well
+    key = [f"{OWN}0", f"{OWN}1"]
+    held = docs.select(*_row(OWN), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"))
+    each = held.groupBy(*key).agg(F.min("_all").alias("_all")).select(*key, "_all.*")
+    same = (F.col(key[0]) == own("row0")) & (F.col(key[1]) == own("row1"))
     words = F.regexp_extract_all("text", F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))
-    lead = lambda b: F.greatest(F.lit(0), b * BLOCK - own("start"))
-    stop = lambda b: F.least(own("size"), (b + 1) * BLOCK - own("start"))
+    lead = lambda b: F.greatest(F.lit(0), b * own("width") - own("start"))
+    stop = lambda b: F.least(own("size"), (b + 1) * own("width") - own("start"))
     held = lambda w: F.transform(own("blocks"), lambda b: F.array_join(F.slice(w, (lead(b) + 1).cast("int"), (stop(b) - lead(b)).cast("int")), ""))
     # the array of one binds the words, so that they are cut once and not for each block
     joined = F.array_join(F.flatten(F.transform(F.array(words), held)), "")
@@ -166,10 +200,10 @@ def mix(docs: DataFrame) -> DataFrame:
     times = saved(draws(plan), "draws").groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
     cut = pieces(placed)
     met = cut.join(times, cut["source"].eqNullSafe(times["source"]) & (cut["block"] == times["block"]))
-    taken = met.groupBy("doc_id", cut["source"], "row", "grp", "nth").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    taken = met.groupBy("doc_id", cut["source"], "row0", "grp", "nth").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     every = placed.alias("p").join(
         taken.alias("t"),
-        F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.row") == F.col("t.row")) & (F.col("p.grp") == F.col("t.grp")) & (F.col("p.nth") == F.col("t.nth")),
+        F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.row0") == F.col("t.row0")) & (F.col("p.grp") == F.col("t.grp")) & (F.col("p.nth") == F.col("t.nth")),
         "left",
     ).select("p.doc_id", "p.source", "p.size", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
     return every.join(plan, every["source"].eqNullSafe(plan["source"])).select("doc_id", every["source"], "size", "source_size", "target", "taken")

@@ -5,11 +5,12 @@ of adjacent character classes in it and the share of its 8-byte windows that rep
 earlier one, and encoded by a learned layer; gated attention,
 learned from the documents' labels alone, weighs the passages; a logistic unit scores
 the weighted sum. It is fitted with Adam on at most ``LABELLED`` labelled documents,
-those with the smallest hashes of doc_id; every passage of every text is scored.
+those with the smallest hashes of doc_id, and ``PER`` passages of each, evenly spread; every
+passage of every text is scored.
 
 Defined results: null and empty texts are a bag of one empty passage; a document with
-several labels counts as good if half of them are; null labels are ignored; without any
-label all scores are 0.5; repeated rows each get a row; an empty table gives an empty
+several labels counts as good if half of them are, and is fitted on one of its texts if it
+has several (that with the smallest hash); null labels are ignored; without any label all scores are 0.5; repeated rows each get a row; an empty table gives an empty
 result; other columns are never read.
 """
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import OWN, crc_of_id, map_texts
 
-#: Bytes in a passage, labelled documents to fit on, encoding and attention widths.
-PASSAGE, LABELLED, WIDTH, GATE = 1000, 4000, 32, 16
+#: Bytes in a passage, labelled documents to fit on and passages of each, encoding and attention widths.
+PASSAGE, LABELLED, PER, WIDTH, GATE = 1000, 4000, 16, 32, 16
 STEPS, BATCH, RATE, DECAY, SEED = 600, 128, 0.01, 1e-4, 9
 #: Character classes, slots that count distinct windows, features of a passage.
 CLASSES, WINDOWS = 32, 2048
@@ -151,9 +152,14 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> dict:
 
     def work(texts: list[str | None]) -> list:
         found, ends = passages(texts)
-        return [pa.array([x.astype(np.float16).tobytes() for x in np.split(found, ends[:-1])], pa.binary())]
-
-    got = map_texts(rows, ["doc_id", "label"], "bag binary", work).orderBy("doc_id", "bag").toArrow()
+        bags = np.split(found, ends[:-1])
+        spread = [x[np.linspace(0, len(x) - 1, min(PER, len(x))).astype(np.int64)] for x in bags]
+        return [pa.array([x.astype(np.float16).tobytes() for x in spread], pa.binary())]
+
+    # a row a label: at most LABELLED * PER * FEATURES numbers of two bytes come to the driver
+    bags = map_texts(rows.withColumn(OWN, F.xxhash64("text")), ["doc_id", "label", OWN], "bag binary", work)
+    one = bags.groupBy("doc_id", "label").agg(F.min(F.struct(OWN, "bag")).alias("first"))
+    got = one.select("doc_id", "label", "first.bag").orderBy("doc_id").toArrow()
     bags = [np.frombuffer(x, np.float16).reshape(-1, FEATURES) for x in got.column("bag").to_pylist()]
     ends = np.cumsum([len(b) for b in bags]).astype(np.int64)
     whole = np.concatenate([np.zeros((0, FEATURES), np.float16), *bags]).astype(np.float32)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm import chat, chunks, decontaminate, langid, mixing, quality, secrets, simhash, tokens, topk, twins
-from orrery.llm.common import table
+from orrery.llm.common import prepare, table
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +55,15 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
+    def prepared(query: Callable) -> Callable:
+        @functools.wraps(query)
+        def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return query(prepare(spark), sf_dir)
+
+        return call
+
     found = (op1_langid, op2_chunks, op3_topk, op4_mixing, op5_secrets, op6_chat, op7_decontaminate, op8_tokens, op9_quality, op10_simhash)
-    return {f.__name__: f for f in found}
+    return {f.__name__: prepared(f) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

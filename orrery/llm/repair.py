@@ -1,7 +1,7 @@
 """Re-Pair grammar compression of id sequences, one grammar a segment, in numpy.
 
 Rounds replace the most frequent adjacent pairs by new symbols, left to right and
-without overlap, as long as some pair occurs often enough. Pairs never cross a
+without overlap, until no pair occurs ``LEAST`` times. Pairs never cross a
 document's end, so each document is a range of symbols. A rule keeps its two parts and
 the length it expands to; with these any document, and any place in it, is found
 without decoding what comes before.
@@ -16,8 +16,8 @@ from __future__ import annotations
 import numpy as np
 
 MAGIC = 0x31525047
-#: Rounds, pairs replaced in one round, times a pair has to occur, size of the count table.
-ROUNDS, PAIRS, LEAST, SLOTS = 6, 2048, 16, 1 << 18
+#: Pairs replaced in one round, times a pair has to occur, bits of the count table's slots.
+PAIRS, LEAST, SLOTS = 2048, 16, 18
 
 
 def _alternate(hit: np.ndarray) -> np.ndarray:
@@ -30,48 +30,53 @@ def _alternate(hit: np.ndarray) -> np.ndarray:
     return at[(np.arange(len(at)) - first) % 2 == 0]
 
 
+def _frequent(pair: np.ndarray, slot: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Pairs that occur ``LEAST`` times at the ``inner`` places, one a slot at most.
+
+    The slots with most pairs each yield the pair that fills most of them; where that
+    finds none, all pairs are counted one by one."""
+    counts = np.bincount(slot[inner], minlength=1 << SLOTS)
+    often = np.flatnonzero(counts >= LEAST)
+    often = often[np.argsort(-counts[often], kind="stable")[:PAIRS]]
+    rank = np.zeros(1 << SLOTS, bool)
+    rank[often] = True
+    for some in (rank[slot] & inner, inner):
+        found, times = np.unique(pair[some], return_counts=True)
+        found, times = found[times >= LEAST], times[times >= LEAST]
+        if len(found) or not len(often):
+            break
+    of = _slots(found)
+    order = np.lexsort((found, -times, of))
+    return found[order[np.diff(of[order], prepend=-1) > 0]]
+
+
+def _slots(pair: np.ndarray) -> np.ndarray:
+    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray) -> bytes:
     """``ids``: the documents' ids one after another; ``ends``: where each one ends."""
     symbols = ids.astype(np.uint32)
     starts = np.concatenate([[0], ends]).astype(np.int64)
     first = int(symbols.max()) + 1 if len(symbols) else 1
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.int64)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         pair = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
         inner = np.ones(len(pair), bool)
         edge = starts[1:-1] - 1  # a document's last symbol has no partner
         inner[edge[(edge >= 0) & (edge < len(pair))]] = False
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        counts = np.bincount(slot[inner], minlength=SLOTS)
-        often = np.flatnonzero(counts >= LEAST)
-        if not len(often):
-            break
-        often = often[np.argsort(-counts[often], kind="stable")[:PAIRS]]
-        rank = np.full(SLOTS, -1, np.int32)
-        rank[often] = np.arange(len(often))
-        seen = np.flatnonzero((rank[slot] >= 0) & inner)
-        # a slot stands for the pair that fills most of it
-        owners, times = np.unique(pair[seen], return_counts=True)
-        keep = times >= LEAST
-        owners, times = owners[keep], times[keep]
-        if not len(owners):
+        slot = _slots(pair)
+        chosen = _frequent(pair, slot, inner)
+        if not len(chosen):
             break
-        of = rank[((owners * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)]
-        order = np.lexsort((owners, -times, of))
-        lead = order[np.concatenate([[True], np.diff(of[order]) > 0])]
-        owner = np.zeros(len(often), np.uint64)
-        owner[of[lead]] = owners[lead]
-        good = np.zeros(len(often), bool)
-        good[of[lead]] = True
-        r = rank[slot[seen]]
-        hit = np.zeros(len(pair), bool)
-        hit[seen[good[r] & (owner[r] == pair[seen])]] = True
+        rank = np.full(1 << SLOTS, -1, np.int32)
+        rank[_slots(chosen)] = np.arange(len(chosen))
+        hit = (rank[slot] >= 0) & inner
+        hit[hit] = chosen[rank[slot[hit]]] == pair[hit]
         at = _alternate(hit)
-        parts = np.stack([owner >> np.uint64(32), owner & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)[good]
-        name = np.cumsum(good) - 1 + first + len(rules)
-        symbols[at] = name[rank[slot[at]]].astype(np.uint32)
+        name = rank[slot[at]]
+        parts = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        symbols[at] = (name + first + len(rules)).astype(np.uint32)
         known = np.concatenate([np.ones(first, np.int64), lengths])
         lengths = np.concatenate([lengths, known[parts].sum(axis=1)])
         rules = np.concatenate([rules, parts])

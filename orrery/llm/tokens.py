@@ -7,11 +7,12 @@ left. The format of a payload is in ``repair``.
 
 Byte-level BPE never joins a word with the space, line end or mark that follows it, so
 texts are cut there and each distinct piece is encoded by the library once while a
-worker remembers it; a test compares with whole texts.
+worker remembers it; a test compares with whole texts. A remembered piece is found by
+hashes and then compared byte by byte, so no piece can get another one's ids.
 
 Defined results: null text is empty and has the end id alone; null doc_ids come first;
-rows of one doc_id are ordered by text; an empty table gives an empty result; other
-columns are ignored.
+rows of one doc_id are ordered by the text's XXH64, then by text; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm import repair
-from orrery.llm.common import ranges, saved, small_batches, trim
+from orrery.llm.common import ranges, saved, trim
 
 #: Ids in a segment, bytes encoded at once, pieces that a worker remembers, pieces encoded in one call's string.
 SEGMENT, AT_ONCE, REMEMBERED, JOINED = 1 << 19, 1 << 17, 800_000, 256
+#: Bytes of a piece beyond which it is not remembered; bytes of text in a partition.
+LONG, PART = 64, 64 << 20
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 _MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -72,11 +75,19 @@ def piece_starts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of spans of these sizes, one after another."""
+    to = np.cumsum(size)
+    return np.arange(int(to[-1]) if len(to) else 0) + np.repeat(begin - (to - size), size)
+
+
 class PieceEncoder:
     """Encodes texts with a byte-level tokenizer of the tokenizers library, piece by piece.
 
-    Pieces are known by two 64-bit hashes of their bytes, in an open-addressing table of
-    numpy arrays, so that only new pieces become Python strings."""
+    Pieces are found by two 64-bit hashes of their bytes, in an open-addressing table of
+    numpy arrays, and compared with the bytes stored there, so that only new pieces become
+    Python strings. Long pieces, and those whose hashes are another piece's, are encoded
+    each time they come."""
 
     def __init__(self, path: str):
         # a task has one core; the library's own threads would only wait for it
@@ -102,6 +113,7 @@ class PieceEncoder:
         self.keys = np.zeros((2, REMEMBERED), np.uint64)
         self.counts = np.zeros(REMEMBERED, np.int32)
         self.ids, self.ends = np.zeros(4 * REMEMBERED, np.uint32), np.zeros(REMEMBERED + 1, np.int64)
+        self.bytes, self.stops = np.zeros(8 * REMEMBERED, np.uint8), np.zeros(REMEMBERED + 1, np.int64)
 
     def _forget(self) -> None:
         """Keep the pieces that came again, at most half of what may be remembered."""
@@ -109,10 +121,11 @@ class PieceEncoder:
         least = max(2, np.partition(counts, -self.known // 2)[-self.known // 2] + 1)
         kept = np.flatnonzero(counts >= least)
         keys, counts, sizes = self.keys[:, kept], counts[kept], self.ends[kept + 1] - self.ends[kept]
-        to = np.cumsum(sizes)
-        ids = self.ids[np.arange(int(sizes.sum())) + np.repeat(self.ends[kept] - (to - sizes), sizes)]
+        ids = self.ids[_spans(self.ends[kept], sizes)]
+        widths = self.stops[kept + 1] - self.stops[kept]
+        raw = self.bytes[_spans(self.stops[kept], widths)]
         self._empty()
-        self._store(keys, ids, sizes)
+        self._store(keys, ids, sizes, raw, widths)
         self.counts[: self.known] = counts // 2
 
     def _hashes(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -149,17 +162,34 @@ class PieceEncoder:
             left, slot = left[~same], (slot[~same] + 1) & (self.slots - 1)
         return out
 
-    def _store(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """New pieces, all different, with their ids one after another."""
-        first, last, base = self.known, self.known + keys.shape[1], int(self.ends[self.known])
+    def _same(self, rows: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the stored bytes of ``rows`` are raw[begin:end]; false for row -1."""
+        size = end - begin
+        same = (rows >= 0) & (self.stops[rows + 1] - self.stops[rows] == size)
+        at, size = np.flatnonzero(same), size[same]
+        if len(at):
+            differ = self.bytes[_spans(self.stops[rows[at]], size)] != raw[_spans(begin[at], size)]
+            same[at[np.logical_or.reduceat(differ, np.cumsum(size) - size)]] = False
+        return same
+
+    def _append(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray, widths: np.ndarray) -> np.ndarray:
+        """Rows for pieces with their ids and bytes one after another, not yet to be found."""
+        first, last, base, place = self.known, self.known + keys.shape[1], int(self.ends[self.known]), int(self.stops[self.known])
         room = lambda x, n: x if x.shape[-1] >= n else np.concatenate([x, np.zeros((*x.shape[:-1], n), x.dtype)], axis=-1)
-        self.keys, self.counts, self.ends = room(self.keys, last), room(self.counts, last), room(self.ends, last + 1)
-        self.ids = room(self.ids, base + len(ids))
+        self.keys, self.counts, self.ends, self.stops = room(self.keys, last), room(self.counts, last), room(self.ends, last + 1), room(self.stops, last + 1)
+        self.ids, self.bytes = room(self.ids, base + len(ids)), room(self.bytes, place + len(raw))
         self.keys[:, first:last] = keys
+        self.counts[first:last] = 0
         self.ends[first + 1 : last + 1] = base + np.cumsum(sizes)
+        self.stops[first + 1 : last + 1] = place + np.cumsum(widths)
         self.ids[base : base + len(ids)] = ids
+        self.bytes[place : place + len(raw)] = raw
         self.known = last
-        row = np.arange(first, last)
+        return np.arange(first, last)
+
+    def _store(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray, widths: np.ndarray) -> None:
+        """New pieces, all different, that are found from now on."""
+        row = self._append(keys, ids, sizes, raw, widths)
         slot = (keys[0] >> np.uint64(20)).astype(np.int64) & (self.slots - 1)
         left = np.arange(keys.shape[1])
         while len(left):
@@ -176,18 +206,22 @@ class PieceEncoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
+    def _apart(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, each encoded on its own."""
+        return self._library([raw[a:b].tobytes().decode() for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+
     def _joined(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces that may follow one another, many in one string; the bytes that
         the tokens stand for tell where each piece ends."""
         size = end - begin
         to = np.cumsum(size)
-        data = raw[np.arange(int(to[-1])) + np.repeat(begin - (to - size), size)].tobytes()
+        data = raw[_spans(begin, size)].tobytes()
         cuts = [0, *to[JOINED - 1 : -1 : JOINED].tolist(), len(data)]
         ids, _ = self._library([data[a:b].decode() for a, b in zip(cuts, cuts[1:])])
         bytes_ = np.concatenate([[0], np.cumsum(self.width[ids])])
         cut = np.searchsorted(bytes_, to)
         if cut[-1] != len(ids) or not np.array_equal(bytes_[cut], to):  # a token crosses pieces
-            return self._library([data[b - n : b].decode() for b, n in zip(to.tolist(), size.tolist(), strict=True)])
+            return self._apart(raw, begin, end)
         return ids, np.diff(cut, prepend=0)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -205,22 +239,27 @@ class PieceEncoder:
         end = np.append(begin[1:], len(raw)) if len(begin) else begin
         keys = self._hashes(raw, begin, end)
         rows = self._find(keys)
-        missing = np.flatnonzero(rows < 0)
+        rows[~self._same(rows, raw, begin, end)] = -1
+        missing = np.flatnonzero((rows < 0) & (end - begin <= LONG))
         if len(missing):
             _, one = np.unique(keys[0][missing], return_index=True)
             new = missing[np.sort(one)]
             # pieces that start with a space and end before a text does can stand in a row
             outer = (raw[begin[new]] != 32) | np.isin(begin[new], whole[:-1]) | np.isin(end[new], whole[1:])
-            if len(inner := new[~outer]):
-                self._store(keys[:, inner], *self._joined(raw, begin[inner], end[inner]))
-            if len(alone := new[outer]):
-                self._store(keys[:, alone], *self._library([data[a:b].decode() for a, b in zip(begin[alone].tolist(), end[alone].tolist(), strict=True)]))
+            for some, ids in ((new[~outer], self._joined), (new[outer], self._apart)):
+                if len(some):
+                    size = end[some] - begin[some]
+                    self._store(keys[:, some], *ids(raw, begin[some], end[some]), raw[_spans(begin[some], size)], size)
             rows[missing] = self._find(keys[:, missing])
-        np.add.at(self.counts, rows, 1)
+            rows[missing[~self._same(rows[missing], raw, begin[missing], end[missing])]] = -1
+        np.add.at(self.counts, rows[rows >= 0], 1)
+        mark = self.known
+        if len(alone := np.flatnonzero(rows < 0)):  # long, or with the hashes of another piece
+            rows[alone] = self._append(keys[:, alone], *self._apart(raw, begin[alone], end[alone]), raw[:0], np.zeros(len(alone), np.int64))
         size = self.ends[rows + 1] - self.ends[rows]
         to = np.cumsum(size)
-        total = int(to[-1]) if len(to) else 0
-        flat = self.ids[np.arange(total) + np.repeat(self.ends[rows] - (to - size), size)]
+        flat = self.ids[_spans(self.ends[rows], size)]
+        self.known = mark
         stops = np.concatenate([[0], to])[np.searchsorted(begin, whole[1:])]
         return np.insert(flat, stops, END).astype(np.uint32), stops + np.arange(1, len(stops) + 1)
 
@@ -276,11 +315,11 @@ def write_files(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pack()
         trim()
 
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    order = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
+    place = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    dealt = docs.select("doc_id", "text").repartitionByRange(parts, *place)
+    order = dealt.sortWithinPartitions(*place, "text").withColumn("part", F.spark_partition_id())
     coded = order.mapInArrow(run, f"part int, segment int, doc_ids array<{kind}>, n_ids long, payload binary")
     return saved(coded, "tokens")
 

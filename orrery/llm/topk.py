@@ -7,26 +7,36 @@ whole bitmaps, which yields the slices of all rows' scores. The best rows are se
 the most significant slice downward; rows that stay tied at the boundary are resolved by
 smaller id, and the scores of the rows found are computed from their integers.
 
-Blocks and query batches meet by their numbers; each task holds one block of about
-``BLOCK`` rows and one batch of ``BATCH`` queries at a time, and hands on k rows a query. Nothing is dropped: every query sees every block.
-
-Defined results: a vector that is null, empty or has a null or non-finite component takes
-no part, nor has one whose integers do not fit into 29 bits; vectors of other lengths
-than the query's are not its candidates; rows that share an id count once, with the
-smallest vector; a null id takes no part; an empty table gives an empty result.
+Blocks of ``BLOCK`` rows are packed once. Queries go out in batches of at most ``BATCH``
+bytes, one pass over the blocks a batch; a task builds the slices of a block once a pass, runs the
+batch's queries over them and hands on its k best rows a query. Every query sees every block.
+
+Defined results: a vector that is null or has a null or non-finite component takes no part,
+nor does a null id; an empty vector scores 0; vectors of other lengths than the query's are
+not its candidates; rows that share an id, or are the same, are rows of their own, and only the
+query's own row is not its candidate. Components of any size are exact: vectors with
+integers of 2^24 or more are Python integers in blocks of their own. A score beyond 64 bits is ranked exactly and
+written as the nearest 64-bit integer. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.common import saved
 
-#: Rows in a block, queries in a batch, factor of the integers, rows that are queries.
-BLOCK, BATCH, SCALE, EVERY = 8192, 512, 256, 50
+#: Rows in a block, bytes of a batch of queries, factor of the integers, rows that are queries.
+BLOCK, BATCH, SCALE, EVERY = 8192, 16 << 20, 256, 50
+#: Vectors of fewer components than this, all below it when squared, have 64-bit products.
+DIMS, NARROW = 1 << 14, 1 << 24
+_MOST, _LEAST = (1 << 63) - 1, -(1 << 63)
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -43,30 +53,29 @@ def _rows(bitmap: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The bit slices of integer vectors, rows in ascending id order."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.low = int(self.vectors.min())
-        self.bits = max(1, (int(self.vectors.max()) - self.low).bit_length())
+    """The bit slices of integer vectors (rows, dims), by ascending (id, row)."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray):
+        order = np.lexsort((rows, ids))
+        self.ids, self.rows, self.vectors = ids[order], rows[order], vectors[order]
+        self.low = int(self.vectors.min()) if vectors.size else 0
+        high = int(self.vectors.max()) if vectors.size else 0
+        self.bits = max(1, (high - self.low).bit_length())
         lifted = (self.vectors - self.low).T  # never negative
-        # one extra slice of zeros lets a carry out of each component's top bit
         flags = np.stack([lifted >> b & 1 for b in range(self.bits)], axis=1).astype(bool)
         self.slices = _bitmap(flags)
         self.valid = _bitmap(np.ones(len(ids), bool))
 
-    def scores(self, query: np.ndarray) -> tuple[np.ndarray, int]:
-        """The slices (least significant first) of score minus a constant, and that constant."""
+    def scores(self, query: np.ndarray) -> np.ndarray:
+        """The slices (least significant first) of score minus a constant."""
         size = np.abs(query)
-        top = max(1, int(size.max()).bit_length())
-        negative = np.where(query < 0, _ONES, np.uint64(0))[:, None, None]
-        terms = self.slices ^ negative
+        top = max(1, int(size.max()).bit_length()) if len(query) else 1
+        negative = np.where(query < 0, _ONES, np.uint64(0)).astype(np.uint64)[:, None, None]
         # q u, or |q| (2^bits - 1 - u) - |q| (2^bits - 1) where q < 0
-        shift = int((query * self.low).sum()) - int(size[query < 0].sum()) * ((1 << self.bits) - 1)
+        terms = self.slices ^ negative
         parts = []
         for b in range(top):
-            chosen = np.flatnonzero(size >> b & 1)
+            chosen = np.flatnonzero((size >> b & 1).astype(bool))
             if len(chosen):
                 parts.append((b, _carry_save(terms[chosen])))
         width = self.bits + top + len(query).bit_length() + 1
@@ -74,14 +83,13 @@ class Block:
         for b, stack in parts:
             for one in stack:
                 _add(total, one, b)
-        return total, shift
+        return total
 
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows other than id ``own``."""
-        total, _ = self.scores(query)
+        """Ids and scores of the k best rows other than row ``own``."""
+        total = self.scores(query)
         left = self.valid.copy()
-        at = np.searchsorted(self.ids, own)
-        if at < len(self.ids) and self.ids[at] == own:
+        for at in np.flatnonzero(self.rows == own).tolist():
             left[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
         sure, have = np.zeros_like(left), 0
         for line in total[::-1]:
@@ -96,7 +104,7 @@ class Block:
                 if have == k:
                     break
         rows = np.concatenate([_rows(sure), _rows(left)[: k - have]])
-        return self.ids[rows], self.vectors[rows] @ query
+        return self.ids[rows], self.vectors[rows] @ query if len(query) else np.zeros(len(rows), np.int64)
 
 
 def _carry_save(stack: np.ndarray) -> np.ndarray:
@@ -130,48 +138,104 @@ def _add(total: np.ndarray, one: np.ndarray, shift: int) -> None:
             total[k], carry = half ^ carry, (line & x) | (half & carry)
 
 
+def _exact(x: float, scale: int) -> int:
+    """floor(scale * x), also where that has more bits than a double."""
+    return math.floor(x * scale) if math.isfinite(x * scale) else int(x) * scale
+
+
+def _order(score: int) -> bytes | None:
+    """What tells scores apart that are written alike, being beyond 64 bits."""
+    if _LEAST <= score <= _MOST:
+        return b"\x80"
+    raw = abs(score).to_bytes(-(-score.bit_length() // 8) + 1, "big")
+    raw = len(raw).to_bytes(4, "big") + raw
+    return b"\x81" + raw if score > 0 else b"\x00" + bytes(255 - x for x in raw)
+
+
 def vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, q): the integer vectors that take part, one an id."""
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < (1 << 28)))
-    kept = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine)
-    cut = kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(whole, lambda x: x.cast("int")).alias("q"))
-    return cut.groupBy("vec_id").agg(F.min("q").alias("q"))
+    """(vec_id, row, wide, dims, q, x) of the vectors that take part: the integers q, or the
+    components x where some integer is large; ``row`` tells rows apart once it is saved."""
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    kept = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
+    x = F.transform("embedding", lambda x: x.cast("double"))
+    wide = F.exists(x, lambda v: F.abs(v) >= float(NARROW // scale)) | (F.size("embedding") >= DIMS)
+    q = F.transform(x, lambda v: F.floor(v * scale).cast("int"))
+    return kept.select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"), wide.alias("wide"), F.size("embedding").alias("dims"),
+        F.when(~wide, q).alias("q"), F.when(wide, x).alias("x"),
+    )
+
+
+def _packed(found: DataFrame, part: Column, scale: int) -> DataFrame:
+    """(part, dims, wide, ids, rows, flat): the vectors of a part, length and kind in one row."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide, dims = bool(pdf["wide"].iloc[0]), int(pdf["dims"].iloc[0])
+        if wide:
+            flat = ",".join(str(_exact(v, scale)) for x in pdf["x"] for v in x).encode()
+        else:
+            flat = np.array(pdf["q"].tolist(), np.int32).tobytes()
+        ids, rows = (pdf[c].to_numpy(np.int64).tobytes() for c in ("vec_id", "row"))
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "dims": [dims], "wide": [wide], "ids": [ids], "rows": [rows], "flat": [flat]})
+
+    form = "part long, dims int, wide boolean, ids binary, rows binary, flat binary"
+    return found.withColumn("part", part).groupBy("part", "dims", "wide").applyInPandas(pack, form)
+
+
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, rows = (np.frombuffer(row[c], np.int64) for c in ("ids", "rows"))
+    if row["wide"]:
+        flat = np.array([int(x) for x in row["flat"].decode().split(",")], object)
+    else:
+        flat = np.frombuffer(row["flat"], np.int32).astype(np.int64)
+    return ids, rows, flat.reshape(len(ids), row["dims"])
 
 
 def search(rows: DataFrame, k: int = 5, every: int = EVERY, block: int = BLOCK, batch: int = BATCH, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows of ``rows`` (vec_id,
     embedding); queries are the rows whose id is divisible by ``every``."""
+    spark = rows.sparkSession
     found = saved(vectors(rows, scale), "vectors")
-    dims = F.size("q")
-    shape = found.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("m")).first()
-    blocks, batches = max(1, -(-shape["n"] // block)), max(1, -(-(shape["m"] or 0) // batch))
-    spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["vec_id"].to_numpy(np.int64)
-        flat = np.stack(pdf["q"].to_numpy()).astype(np.int32)
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "dims": [flat.shape[1]], "ids": [ids.tobytes()], "flat": [flat.tobytes()]})
-
-    form = "part long, dims int, ids binary, flat binary"
-    stored = found.withColumn("part", spread(blocks)).withColumn("dims", dims).groupBy("part", "dims").applyInPandas(pack, form)
-    asked = found.where(F.col("vec_id") % every == 0).withColumn("part", spread(batches)).withColumn("dims", dims).groupBy("part", "dims").applyInPandas(pack, form)
-    # every block is dealt to each batch number and every batch to each block number
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
-    left = stored.withColumn("batch", numbers(batches)).groupBy("part", "batch", "dims")
-    right = asked.withColumnRenamed("part", "batch").withColumn("part", numbers(blocks)).groupBy("part", "batch", "dims")
-
-    def meet(stored_: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(stored_) and len(asked_):
-            dim = int(stored_["dims"].iloc[0])
-            read = lambda x: (np.frombuffer(x["ids"], np.int64), np.frombuffer(x["flat"], np.int32).reshape(-1, dim).astype(np.int64))
-            here = Block(*read(stored_.iloc[0]))
-            out = [(q, *here.best(v, q, k)) for q, v in zip(*read(asked_.iloc[0]), strict=True)]
-        query = np.repeat(np.array([x[0] for x in out], np.int64), [len(x[1]) for x in out])
-        none = [np.zeros(0, np.int64)]
-        return pd.DataFrame({"query_id": query, "vec_id": np.concatenate(none + [x[1] for x in out]), "score": np.concatenate(none + [x[2] for x in out])})
-
-    near = left.cogroup(right).applyInPandas(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    count = lambda n, size: max(1, -(-(n or 0) // size))
+    asking = F.col("vec_id") % every == 0
+    weight = F.col("dims") * F.when(F.col("wide"), 64).otherwise(8) + 32
+    total = found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(asking, weight)).alias("bytes")).first()
+    spread = lambda n: F.pmod(F.xxhash64("row"), F.lit(n))
+    many = count(total["n"], block)
+    blocks = saved(_packed(found, spread(many), scale), "blocks")
+    # tasks hold up to 32 blocks; small tables are spread out, as the work is in the scores
+    parts = min(many, max(int(spark.conf.get("spark.sql.shuffle.partitions")), many // 32))
+    batches = count(total["bytes"], batch)
+    asked = saved(_packed(found.where(asking), spread(batches), scale), "queries", found)
+    near = None
+    for number in range(batches):
+        # about BATCH bytes, whatever the table's size
+        packed = [r.asDict() for r in asked.where(F.col("part") == number).collect()]
+        shared = spark.sparkContext.broadcast(packed)
+
+        def scan(batches_: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asks = [(r["wide"], r["dims"], *_read(r)) for r in shared.value]
+            best: dict[int, list] = {}  # row of the query -> (-score, id), the best first
+            names = {}
+            for got in batches_:
+                for stored in got.to_pylist():
+                    ids, rows_, flat = _read(stored)
+                    here = Block(ids, rows_, flat)
+                    for wide, dims, qids, qrows, qs in asks:
+                        if dims != stored["dims"]:
+                            continue
+                        if wide or stored["wide"]:  # products of Python integers
+                            qs = qs.astype(object)
+                        for qid, qrow, q in zip(qids.tolist(), qrows.tolist(), qs, strict=True):
+                            which, score = here.best(q, qrow, k)
+                            names[qrow] = qid
+                            best[qrow] = sorted(best.get(qrow, []) + [(-s, i) for s, i in zip(score.tolist(), which.tolist(), strict=True)])[:k]
+            out = [(names[q], q, i, min(max(-s, _LEAST), _MOST), _order(-s)) for q, held in best.items() for s, i in held]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "own", "vec_id", "score", "beyond"])
+
+        one = blocks.select("dims", "wide", "ids", "rows", "flat").repartition(parts).mapInArrow(scan, "query_id long, own long, vec_id long, score long, beyond binary")
+        near = one if near is None else near.unionByName(one)
+    order = Window.partitionBy("own").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

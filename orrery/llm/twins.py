@@ -6,10 +6,14 @@ from orrery.llm import secrets
 
 _WHOLE = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE))"
 
-TOPK = f"""WITH v AS (SELECT vec_id, {_WHOLE} AS q FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
-SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+TOPK = f"""WITH v AS (
+  SELECT row_number() OVER () AS own, vec_id, {_WHOLE} AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.own, a.vec_id AS query_id, b.vec_id AS vec_id, coalesce(list_inner_product(a.q, b.q), 0)::BIGINT AS score
+  FROM v a JOIN v b ON a.own <> b.own AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY own ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
 
 
 def _text(x: str) -> str:
