@@ -50,18 +50,22 @@ def shingle_hashes(text: str | None, size: int = 3) -> list[int]:
     return [digest(join(x), SEED) for x in zip(*(words[k:] for k in range(size)))]
 
 
+_LANES = _lanes()
+
+
+def fingerprint(hashes: np.ndarray) -> np.uint64:
+    """The bits that over half of the hashes have."""
+    if not len(hashes):
+        return np.uint64(0)
+    spread, most = _LANES[hashes.view(np.uint8)].reshape(-1, 8), 255
+    sums = np.add.reduceat(spread, np.arange(0, len(spread), most), axis=0)
+    counts = sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
 def fingerprints(texts: list[str | None], size: int = 3) -> np.ndarray:
-    """Unsigned 64-bit SimHash of each text: a bit is set if over half the hashes have it."""
-    lanes, out, most = _lanes(), np.zeros(len(texts), np.uint64), 255
-    for row, text in enumerate(texts):
-        hashes = np.array(shingle_hashes(text, size), np.uint64)
-        if not len(hashes):
-            continue
-        spread = lanes[hashes.view(np.uint8)].reshape(-1, 8)
-        sums = np.add.reduceat(spread, np.arange(0, len(spread), most), axis=0)
-        counts = sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        out[row] = np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
-    return out
+    """Unsigned 64-bit SimHash of each text."""
+    return np.array([fingerprint(np.array(shingle_hashes(t, size), np.uint64)) for t in texts], np.uint64)
 
 
 def with_fingerprint(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -95,7 +99,7 @@ def links(fps: DataFrame, most: int = 2) -> DataFrame:
     stored = keys.where("stored").select("key", F.col("fp").alias("b"))
     looked = keys.where("not stored").select("key", F.col("fp").alias("a"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
-    return looked.join(stored, (looked["key"] == stored["key"]) & near).select("a", "b").distinct()
+    return saved(looked.join(stored, (looked["key"] == stored["key"]) & near).select("a", "b").distinct(), "links", keys)
 
 
 def classes(prints: DataFrame) -> DataFrame:
@@ -104,8 +108,10 @@ def classes(prints: DataFrame) -> DataFrame:
     keep_id and keep_hash name the one document that stands for the component."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash"))
     nodes = saved(prints.groupBy("fp").agg(first.alias("first")), "fps")
-    roots = components(links(nodes.select("fp")))
+    found = links(nodes.select("fp"))
+    roots = components(found)
     tagged = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    tagged = saved(tagged, "tagged", nodes, found)
     heads = tagged.groupBy("root").agg(F.min("first").alias("head"))
     return tagged.select("fp", "root").join(heads, "root").select(
         "fp", F.col("head.doc_id").alias("component_id"), F.col("head.doc_id").alias("keep_id"), F.col("head.text_hash").alias("keep_hash")
