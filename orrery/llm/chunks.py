@@ -12,17 +12,16 @@ the region of such chunks, is removable. Spans are code points, end exclusive.
 A digest that many rows share is met by a broadcast instead of a shuffle: digests of more
 than 1 / ``HOT`` of all chunks, of which there are fewer than ``HOT``.
 
-Defined results: null and empty texts have no chunk; each row has regions of its own text,
-which ``text_hash`` (its XXH64) names; rows that share a doc_id are one document when it comes
-to what other documents hold (null is an id of its own, and the smallest); chunks that
-repeat only inside one document do not count; an empty table gives an empty result; other
-columns are ignored.
+Defined results: null and empty texts have no chunk; each text of a doc_id has regions of its
+own, which ``text_hash`` (its XXH64) names, and rows that repeat both are one; rows that share a
+doc_id are one document when it comes to what other documents hold (null is an id of its
+own, and the smallest); chunks that repeat only inside one document do not count; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,48 +56,54 @@ def cuts(flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def chunk_texts(texts: list[str | None]) -> tuple[np.ndarray, list]:
-    """(text of each chunk, [number in its text, digest, start, end])."""
+    """(text of each chunk, [two halves of its digest, start and length in one number])."""
     whole = "".join(t or "" for t in texts)
     size = np.array([len(t or "") for t in texts], np.int64)
     begins = np.cumsum(size) - size
     if not whole:
         none = np.zeros(0, np.int64)
-        return none, [none.astype(np.int32), pa.array([], pa.binary()), none.astype(np.int32), none.astype(np.int32)]
+        return none, [none, none, none]
     flat = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
     start = cuts(flat, begins[size > 0])
     end = np.append(start[1:], len(flat))
     raw = memoryview(flat).cast("B")
     digest = xxhash.xxh3_128_digest
     got = b"".join(digest(raw[a:b]) for a, b in zip((4 * start).tolist(), (4 * end).tolist(), strict=True))
-    got = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.arange(0, len(got) + 1, 16, np.int32)), pa.py_buffer(got)])
+    halves = np.frombuffer(got, np.int64).reshape(-1, 2)
     full = np.flatnonzero(size > 0)
     text = full[np.searchsorted(begins[full], start, "right") - 1]
-    number = np.arange(len(start)) - np.searchsorted(text, text, "left")
-    return text, [number.astype(np.int32), got, (start - begins[text]).astype(np.int32), (end - begins[text]).astype(np.int32)]
+    return text, [halves[:, 0].copy(), halves[:, 1].copy(), (start - begins[text]) << 32 | (end - start)]
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, row, number, digest, start, end) of every chunk; ``row`` tells the
-    rows of ``docs`` apart once this is saved."""
-    kept = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), "text")
-    return map_texts(kept, ["doc_id", "text_hash", "row"], "number int, digest binary, start int, end int", chunk_texts)
+    """(doc_id, text_hash, d0, d1, span) of every chunk: what is shuffled is five numbers."""
+    kept = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return map_texts(kept, ["doc_id", "text_hash"], "d0 long, d1 long, span long", chunk_texts)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, start, end, chunks, first_doc, keepers, removable): the repeating
     regions. ``keepers`` are the documents that keep its chunks, ``first_doc`` is the least."""
-    chunks = saved(chunked(docs), "chunks")
-    who = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")  # null is the smallest
-    shared = chunks.groupBy("digest").agg(F.min(who).alias("first"), F.max(who).alias("last"), F.count(F.lit(1)).alias("n"))
-    shared = saved(shared.where("first < last").select("digest", "first", "n"), "shared")
+    chunks, digest = saved(chunked(docs), "chunks"), ["d0", "d1"]
+    shared = chunks.groupBy(*digest).agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.bool_or(F.col("doc_id").isNull()).alias("none"), F.count(F.lit(1)).alias("n")
+    )
+    several = (F.col("first") < F.col("last")) | (F.col("none") & F.col("first").isNotNull())
+    shared = saved(shared.where(several).select(*digest, F.when(~F.col("none"), F.col("first")).alias("first"), "n"), "shared")
     often = F.col("n") > max(1000, chunks.count() // HOT)
     hot = F.broadcast(shared.where(often).drop("n"))  # fewer than HOT rows of a few bytes
-    met = chunks.join(hot, "digest").unionByName(chunks.join(hot, "digest", "left_anti").join(shared.where(~often).drop("n"), "digest"))
-    met = met.withColumn("removable", ~F.col("first.doc_id").eqNullSafe(F.col("doc_id")))
-    run = Window.partitionBy("row", "removable").orderBy("number")
-    island = met.withColumn("island", F.col("number") - F.row_number().over(run))
-    regions = island.groupBy("row", "doc_id", "text_hash", "removable", "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("chunks"), F.array_sort(F.collect_set("first")).alias("keepers")
+    met = chunks.join(hot, digest).unionByName(chunks.join(hot, digest, "left_anti").join(shared.where(~often).drop("n"), digest))
+    start = F.shiftright("span", 32)
+    met = met.select(
+        "doc_id", "text_hash", "first", start.alias("start"), (start + F.col("span").bitwiseAND(F.lit((1 << 32) - 1))).alias("end"), (~F.col("first").eqNullSafe(F.col("doc_id"))).alias("removable")
+    )
+    # chunks stand side by side where one starts at another's end
+    run = Window.partitionBy("doc_id", "text_hash", "removable").orderBy("start")
+    apart = met.withColumn("apart", (F.col("start") > F.coalesce(F.lag("end").over(run), F.lit(-1))).cast("long"))
+    island = apart.withColumn("island", F.sum("apart").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    keeper = F.struct(F.col("first").isNotNull().alias("known"), "first")  # null is the smallest
+    regions = island.groupBy("doc_id", "text_hash", "removable", "island").agg(
+        F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"), F.count_distinct("start").alias("chunks"), F.array_sort(F.collect_set(keeper)).alias("keepers")
     )
     long = regions.where(F.col("end") - F.col("start") >= REGION)
-    return long.select("doc_id", "text_hash", "start", "end", "chunks", F.col("keepers")[0]["doc_id"].alias("first_doc"), F.transform("keepers", lambda x: x["doc_id"]).alias("keepers"), "removable")
+    return long.select("doc_id", "text_hash", "start", "end", "chunks", F.col("keepers")[0]["first"].alias("first_doc"), F.transform("keepers", lambda x: x["first"]).alias("keepers"), "removable")

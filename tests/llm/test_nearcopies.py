@@ -13,19 +13,9 @@ def _shingles(text: str | None) -> set:
     return {tuple(own[k : k + 5]) for k in range(max(1, len(own) - 4))} if own else set()
 
 
-def test_planted_near_copies_go(spark):
-    rng, made = random.Random(4), []
-    for g in range(30):
-        base = words(300, 100 + g).split()
-        made.append((1000 * (g + 1), " ".join(base)))
-        for k in range(1, 4):
-            own = list(base)
-            for at in rng.sample(range(300), rng.randint(1, 6)):
-                own[at] = f"new{rng.random()}"
-            made.append((1000 * (g + 1) + k, " ".join(own)))
-        made.append((1000 * (g + 1) + 9, " ".join(base[:150] + words(150, 900 + g).split())))
-    docs = table(spark, SF, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
-    sets = {r.doc_id: _shingles(r.text) for r in docs.collect()}
+def heads(rows: list) -> set:
+    """The least doc_id of each component of (doc_id, text) rows, by all pairs."""
+    sets = {d: _shingles(t) for d, t in rows}
     root = {k: k for k in sets}
 
     def find(x):
@@ -39,8 +29,24 @@ def test_planted_near_copies_go(spark):
             if a < b and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    want = {find(k) for k in sets}
-    assert {1000 * (g + 1) + k for g in range(30) for k in (0, 9)} <= want and len(want) < len(sets) - 80
+    return {find(k) for k in sets}
+
+
+def test_planted_near_copies_go(spark):
+    rng, made = random.Random(4), []
+    for g in range(30):
+        base = words(300, 100 + g).split()
+        made.append((1000 * (g + 1), " ".join(base)))
+        for k in range(1, 4):
+            own = list(base)
+            for at in rng.sample(range(300), rng.randint(1, 6)):
+                own[at] = f"new{rng.random()}"
+            made.append((1000 * (g + 1) + k, " ".join(own)))
+        made.append((1000 * (g + 1) + 9, " ".join(base[:150] + words(150, 900 + g).split())))
+    docs = table(spark, SF, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = heads(rows)
+    assert {1000 * (g + 1) + k for g in range(30) for k in (0, 9)} <= want and len(want) < len(rows) - 80
     assert {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()} == want
 
 

@@ -146,14 +146,14 @@ def test_shifted_passages_repeat(spark):
 
 def test_chunks_cover_every_text():
     texts = [None, "", "a", words(500, 2), "éß漢字🙂" * 40, "ab " * 300]
-    which, (number, _, start, end) = chunks.chunk_texts(texts)
+    which, (_, _, span) = chunks.chunk_texts(texts)
+    start, end = span >> 32, (span >> 32) + (span & 0xFFFFFFFF)
     for k, text in enumerate(texts):
         own = which == k
         assert "".join((text or "")[a:b] for a, b in zip(start[own], end[own], strict=True)) == (text or "")
-        assert number[own].tolist() == list(range(own.sum()))
     # a text is cut alike whatever stands beside it
     alone = chunks.chunk_texts([texts[3]])[1]
-    assert alone[2].tolist() == start[which == 3].tolist()
+    assert alone[2].tolist() == span[which == 3].tolist()
 
 
 def test_repeats_as_by_dictionaries(spark, monkeypatch):
@@ -162,8 +162,8 @@ def test_repeats_as_by_dictionaries(spark, monkeypatch):
     rank = lambda d: (d is not None, d or 0)
     keeper, last, cut = {}, {}, []
     for doc, text in rows:
-        number, digest, start, end = chunks.chunk_texts([text])[1]
-        cut.append(list(zip(digest.to_pylist(), start.tolist(), end.tolist(), strict=True)))
+        one, two, span = chunks.chunk_texts([text])[1]
+        cut.append([((a, b), s >> 32, (s >> 32) + (s & 0xFFFFFFFF)) for a, b, s in zip(one.tolist(), two.tolist(), span.tolist(), strict=True)])
         for d, _, _ in cut[-1]:
             keeper[d], last[d] = min(keeper.get(d, rank(doc)), rank(doc)), max(last.get(d, rank(doc)), rank(doc))
     want = collections.Counter()
@@ -186,7 +186,7 @@ def test_repeats_as_by_dictionaries(spark, monkeypatch):
 
 
 def test_odd_texts_in_chunks(spark, odd):
-    got = chunks.repeats(odd.withColumns({"row": F.lit(1), "digest": F.lit("d"), "text_hash": F.lit(0)})).collect()
+    got = chunks.repeats(odd.withColumns({"span": F.lit(1), "first": F.lit("d"), "text_hash": F.lit(0), "d0": F.lit(1.5)})).collect()
     assert {r.doc_id for r in got} == {4, 5} and all(r.first_doc == 4 and r.keepers == [4] for r in got)
     assert chunks.repeats(odd.limit(0)).count() == 0
 
