@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.functions.cube import FACE_XYZ
+
 EDGES = ("U-", "U+", "V-", "V+")
-#: For each face and edge the face and edge beyond it; "~" flips the index
-#: along the edge.
-BEYOND = {
-    0: ("4.V+ ~", "1.U-", "5.V+", "2.U- ~"),
-    1: ("0.U+", "3.V- ~", "5.U+ ~", "2.V-"),
-    2: ("0.V+ ~", "3.U-", "1.V+", "4.U- ~"),
-    3: ("2.U+", "5.V- ~", "1.U+ ~", "4.V-"),
-    4: ("2.V+ ~", "5.U-", "3.V+", "0.U- ~"),
-    5: ("4.U+", "1.V- ~", "3.U+ ~", "0.V-"),
-}
 
 
 def rows() -> list[tuple[int, int, int, int, bool]]:
-    """(face, edge, to_face, to_edge, flip), edges by their place in EDGES."""
-    return [(f, e, int(x[0]), EDGES.index(x[2:4]), x.endswith("~")) for f, line in BEYOND.items() for e, x in enumerate(line)]
+    """(face, edge, to_face, to_edge, flip), edges by their place in EDGES: two faces meet
+    where their edges end in the same corners of the cube; flip where these are reversed."""
+
+    def corner(face: int, u: int, v: int) -> tuple[int, ...]:
+        known = {"1e0": 1, "-1e0": -1, "u": u, "-u": -u, "v": v, "-v": -v}
+        return tuple(known[x] for x in FACE_XYZ[face])
+
+    ends = {}
+    for face in FACE_XYZ:
+        for edge in range(4):
+            rim = -1 if edge % 2 == 0 else 1
+            ends[face, edge] = [corner(face, rim, t) if edge < 2 else corner(face, t, rim) for t in (-1, 1)]
+    met = [(a, b) for a in ends for b in ends if a[0] != b[0] and set(ends[a]) == set(ends[b])]
+    return [(*a, *b, ends[a][0] != ends[b][0]) for a, b in met]
 
 
 def table(spark: SparkSession) -> DataFrame:
@@ -63,3 +67,21 @@ def corner_stencil(cells: DataFrame, level: int) -> DataFrame:
     one = step(sides.withColumn("edge", F.col("eu")), level).select(*keep, "eu", "ev", F.col("nface").alias("uface"), F.col("ni").alias("ui"), F.col("nj").alias("uj"))
     two = step(one.withColumn("edge", F.col("ev")), level)
     return two.select(*keep, "eu", "ev", "uface", "ui", "uj", F.col("nface").alias("vface"), F.col("ni").alias("vi"), F.col("nj").alias("vj"))
+
+
+def around(cells: DataFrame, level: int, di: str = "di", dj: str = "dj") -> DataFrame:
+    """Adds tface, ti, tj: the cell at the offset (di, dj), each -1, 0 or 1, of each cell.
+
+    Beyond an edge that is the adjacent face's cell. Where an offset leaves a face at its
+    corner, the cube has no cell there: the row becomes two, one for each edge, whose cells
+    stand for the missing one by their mean."""
+    n, names = 1 << level, cells.columns
+    at = cells.withColumns({"_gi": F.col("i") + F.col(di), "_gj": F.col("j") + F.col(dj)})
+    out_u = F.when(F.col("_gi") < 0, 0).when(F.col("_gi") >= n, 1)
+    out_v = F.when(F.col("_gj") < 0, 2).when(F.col("_gj") >= n, 3)
+    clip = lambda c: F.least(F.greatest(F.col(c), F.lit(0)), F.lit(n - 1)).cast("long")
+    both = F.when(out_u.isNotNull() & out_v.isNotNull(), F.array(out_u, out_v)).otherwise(F.array(F.coalesce(out_u, out_v)))
+    at = at.select(F.struct(*names).alias("_own"), "face", clip("_gi").alias("i"), clip("_gj").alias("j"), F.explode(both).alias("edge"))
+    inside = at.where("edge is null").select("_own.*", F.col("face").alias("tface"), F.col("i").alias("ti"), F.col("j").alias("tj"))
+    across = step(at.where("edge is not null"), level).select("_own.*", F.col("nface").alias("tface"), F.col("ni").alias("ti"), F.col("nj").alias("tj"))
+    return inside.unionByName(across)

@@ -57,6 +57,16 @@ def mul64(a: Column, b: int) -> Column:
     return out
 
 
+def mul64_text(a: str, b: int) -> str:
+    """``mul64`` of a column's name as SQL text, which is built faster than Column objects."""
+    total, out = "", []
+    for at in range(4):
+        terms = [f"(shiftrightunsigned({a}, {16 * k}) & 65535L) * {b >> (16 * (at - k)) & 0xFFFF}L" for k in range(at + 1)]
+        total = " + ".join(terms + ([f"shiftrightunsigned({total}, 16)"] if total else []))
+        out.append(f"shiftleft(({total}) & 65535L, {16 * at})")
+    return " | ".join(out)
+
+
 def add64(a: Column, b: Column) -> Column:
     """a + b modulo 2^64."""
     a, b = a.cast("long"), b.cast("long")

@@ -124,9 +124,10 @@ def canonical_json(text: str, floats: bool = False) -> str:
         if x is None or isinstance(x, bool):
             return json.dumps(x)
         if isinstance(x, str):
+            x.encode()  # a lone surrogate has no UTF-8 form; its error is a ValueError
             return json.dumps(x, ensure_ascii=False)
         if isinstance(x, int):
-            if not floats and abs(x) > (1 << 53) - 1 or floats and int(float(x)) != x:
+            if not floats and abs(x) > (1 << 53) - 1 or floats and (x.bit_length() > 1023 or int(float(x)) != x):
                 raise ValueError("an integer is out of range")
             return number_text(float(x)) if floats else str(x)
         if isinstance(x, float):
@@ -144,6 +145,7 @@ def canonical_json(text: str, floats: bool = False) -> str:
 #: Fixed values of the blob format: magic, kinds, storage types.
 MAGIC, KINDS = b"VYB1", {"raster": 1, "index": 2, "columnar": 3}
 DTYPES = {"raw": (0, None), "u8": (1, "<u1"), "i8": (2, "<i1"), "u16": (3, "<u2"), "i16": (4, "<i2"), "u32": (5, "<u4"), "i32": (6, "<i4"), "f32": (7, "<f4")}
+RANGES = {"u8": (0, 255), "i8": (-128, 127), "u16": (0, 65535), "i16": (-32768, 32767), "u32": (0, 4294967295), "i32": (-2147483648, 2147483647), "f32": (0, 4294967295)}
 MOST_BYTES = 64 << 20
 
 
@@ -151,6 +153,11 @@ def pack_raster(values: np.ndarray, dtype: str) -> bytes:
     """A tile (slices, j, i) as a blob: 16 bytes of header and the values, i fastest."""
     slices, dim_j, dim_i = values.shape
     code, kind = DTYPES[dtype]
+    low, high = RANGES[dtype]
+    if values.size and (values.min() < low or values.max() > high):
+        raise ValueError("a value does not fit the storage type")
+    if dtype == "f32":  # 32 bits of a pattern
+        kind = "<u4"
     return MAGIC + struct.pack("<BBBBHHHH", KINDS["raster"], code, 0, 0, dim_i, dim_j, slices, 0) + values.astype(kind).tobytes()
 
 
@@ -166,8 +173,34 @@ def unpack_raster(data: bytes) -> np.ndarray:
     return np.frombuffer(data, forms[code], offset=16).reshape(slices, dim_j, dim_i)
 
 
+def const_bytes(value: int, dtype: str) -> bytes:
+    """A constant tile's raw value as its storage type has it."""
+    low, high = RANGES[dtype]
+    if not low <= value <= high:
+        raise ValueError("a value does not fit the storage type")
+    return np.array([value], "<u4" if dtype == "f32" else DTYPES[dtype][1]).tobytes()
+
+
+def _index_ids(field_id: int, topology: int, tile_log2: int, entries: list[tuple]) -> None:
+    """Refuse a field id with an empty half, levels beyond 30 and keys of no tile: a cube
+    tile's key is that of its ancestor at max(0, level - tile_log2); a radial one's is at its own
+    level, with an ordinal below 2^(level - tile_log2)."""
+    if not field_id >> 16 or not field_id & 0xFFFF or topology not in (1, 2) or tile_log2 > 30 or any(e[0] > 30 for e in entries):
+        raise ValueError("a field id, topology or level is out of range")
+    for level, key, *_ in entries:
+        up = max(0, level - tile_log2)
+        if topology == 1:
+            mark = 60 - 2 * up
+            good = key and key & -key == 1 << mark and key >> 61 <= 5 and key < 1 << 64
+        else:
+            good = key >> level == 1 and key - (1 << level) < 1 << up
+        if not good:
+            raise ValueError("a key is not that of a tile")
+
+
 def pack_index(field_id: int, topology: int, tile_log2: int, entries: list[tuple]) -> bytes:
     """Entries (level, unsigned key, const value or None, 32-byte hash or None), in order."""
+    _index_ids(field_id, topology, tile_log2, entries)
     places = [(e[0], e[1]) for e in entries]
     if any(x >= y for x, y in zip(places, places[1:])):
         raise ValueError("entries are not in strict order")
@@ -190,6 +223,7 @@ def unpack_index(data: bytes) -> tuple[int, int, int, list[tuple]]:
         out.append((level, key, struct.unpack("<q", rest[:8])[0] if flag else None, None if flag else rest))
     if any(x[:2] >= y[:2] for x, y in zip(out, out[1:])):
         raise ValueError("entries are not in strict order")
+    _index_ids(field_id, topology, tile_log2, out)
     return field_id, topology, tile_log2, out
 
 
@@ -200,11 +234,19 @@ def store(data: bytes) -> bytes:
 
 
 def restore(data: bytes, most: int = MOST_BYTES) -> bytes:
-    """The inverse of ``store``; refuses output of more than ``most`` bytes."""
-    with zstandard.ZstdDecompressor(max_window_size=64 << 20).stream_reader(data) as reader:
-        raw = reader.read(most + 1)
-    if len(raw) > most:
-        raise ValueError("more bytes than allowed")
+    """The inverse of ``store``: one whole frame and nothing behind it, with at most ``most``
+    bytes of content. What the frame says of its size is not trusted beyond that."""
+    zstd = zstandard.ZstdDecompressor(max_window_size=64 << 20)
+    try:
+        with zstd.stream_reader(data) as reader:
+            if len(reader.read(most + 1)) > most:
+                raise ValueError("more bytes than allowed")
+        whole = zstd.decompressobj()
+        raw = whole.decompress(data)
+    except zstandard.ZstdError as bad:
+        raise ValueError("not a frame") from bad
+    if not whole.eof or whole.unused_data:
+        raise ValueError("the frame is cut off, or something follows it")
     both = np.frombuffer(raw, np.uint8)
     out = np.empty(len(both), np.uint8)
     half = (len(both) + 1) // 2
@@ -238,4 +280,4 @@ def canonical_or_null(texts: pd.Series) -> pd.Series:
         except (ValueError, RecursionError):
             return None
 
-    return texts.map(one)
+    return texts.map(one)  # row by row: no built-in function orders names or writes numbers so

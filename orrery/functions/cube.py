@@ -98,6 +98,25 @@ def tile_key(face: Column, i: Column, j: Column, level: int, tile_log2: int) ->
     return key(face, F.shiftright(i, up), F.shiftright(j, up), level - up)
 
 
+def is_unit(x: Column, y: Column, z: Column) -> Column:
+    """Whether a vector is a direction: its squared length is 1 within 1e-12."""
+    return F.coalesce(F.abs(x * x + y * y + z * z - 1.0) <= 1e-12, F.lit(False))
+
+
+def is_tile_key(df: DataFrame, k: str, level: str, tile_log2: int, to: str = "is_tile") -> DataFrame:
+    """Adds whether a key is that of a tile of cells at ``level``: a cell's key, at the level
+    max(0, level - tile_log2)."""
+    marks = trailing_zeros(F.col(k))
+    up = F.greatest(F.lit(0), F.col(level) - tile_log2)
+    good = F.col(level).between(0, MAX_LEVEL) & (marks == 60 - 2 * up) & (F.shiftrightunsigned(k, 61) <= 5)
+    return df.withColumn(to, F.coalesce(good, F.lit(False)))
+
+
+def with_axial(df: DataFrame, lat: Column, lon: Column) -> DataFrame:
+    """Adds the direction (dx, dy, dz) at an axial latitude and longitude in radians."""
+    return df.withColumns({"dx": F.cos(lat) * F.cos(lon), "dy": F.cos(lat) * F.sin(lon), "dz": F.sin(lat)})
+
+
 def with_direction(df: DataFrame, s: Column, t: Column, prefix: str = "c") -> DataFrame:
     """Adds the unit vector (prefix x, y, z) at face coordinates (s, t) of column face."""
     bend = "case when {0} >= 0.5e0 then (4e0*{0}*{0}-1e0)/3e0 else (1e0-4e0*(1e0-{0})*(1e0-{0}))/3e0 end"

@@ -31,7 +31,8 @@ def center(index: Column, extent: Column, level: int) -> Column:
 
 
 def measure(index: Column, extent: Column, level: int) -> Column:
-    """Volume of a shell of a sphere of radius ``extent``."""
+    """Volume of a shell of a sphere of radius ``extent``. Fixed form: the order of the
+    operations, on which the last bits depend."""
     inner, outer = index / float(1 << level), (index + 1) / float(1 << level)
     return F.lit(4.0 * math.pi / 3.0) * extent * extent * extent * (outer - inner) * (outer * outer + outer * inner + inner * inner)
 
@@ -42,3 +43,17 @@ def tile_key(index: Column, level: int, tile_log2: int) -> Column:
 
 def clamped(index: Column, by: int, level: int) -> Column:
     return F.least(F.greatest(index + by, F.lit(0)), F.lit((1 << level) - 1))
+
+
+def is_extent(extent: Column) -> Column:
+    """Whether a radius can be divided into shells: the whole sphere and the innermost shell
+    of the deepest level have finite volumes above zero."""
+    sizes = [measure(F.lit(0), extent, level) for level in (0, 30)]
+    return F.coalesce((extent > 0) & (extent < float("inf")) & (sizes[0] < float("inf")) & (sizes[1] > 0), F.lit(False))
+
+
+def is_tile_key(k: Column, level: Column, tile_log2: int) -> Column:
+    """Whether a key is that of a tile of shells at ``level``: at that level itself, with an
+    ordinal below 2^(level - tile_log2)."""
+    ordinal = k - F.power(F.lit(2.0), level).cast("long")
+    return F.coalesce(level.between(0, 30) & (level_of(k) == level) & (ordinal < F.power(F.lit(2.0), F.greatest(F.lit(0), level - tile_log2))), F.lit(False))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from orrery.functions.bits import ukey
+from orrery.functions.codec import MOST_BYTES
 
-#: Names that a path component may not have, whatever its extension.
-DEVICES = "con|prn|aux|nul|com[1-9]|lpt[1-9]"
+#: Fixed values, in upper case: names that a path component may not have, whatever its
+#: extension, and names that it may not have as they are.
+DEVICES = "CON|PRN|AUX|NUL|COM[1-9¹²³]|LPT[1-9¹²³]"
+CONSOLES = "CONIN[$]|CONOUT[$]"
 
 
 def blob_path(digest: Column) -> Column:
@@ -53,17 +60,59 @@ def path_error(path: Column) -> Column:
         .when(F.rlike(path, F.lit(r"^/")), "absolute")
         .when(F.rlike(path, F.lit(r"\\")), "backslash")
         .when(some(r"^\.{0,2}$"), "component")
-        .when(F.rlike(path, F.lit(r'[<>:"|?*\x00-\x1f\x7f]')), "character")
+        .when(F.rlike(path, F.lit(r'[<>:"|?*\x00-\x1f]')), "character")
         .when(some(r"[ .]$"), "trailing")
-        .when(some(rf"(?i)^({DEVICES})(\..*)?$"), "device")
+        .when(F.exists(parts, lambda p: F.rlike(F.upper(p), F.lit(rf"^(({DEVICES})([.].*)?|{CONSOLES})$"))), "device")
     )
 
 
+@F.pandas_udf(StringType())
+def collision_key(paths: pd.Series) -> pd.Series:
+    """Upper case, then Unicode composition: paths with one key are one file on some system.
+    Spark has no normalisation."""
+    return paths.map(lambda p: None if p is None else unicodedata.normalize("NFC", p.upper()))
+
+
+def aliases(paths: DataFrame) -> DataFrame:
+    """(key, paths, first): keys that several different paths share."""
+    keyed = paths.select("path", collision_key("path").alias("key"))
+    return keyed.groupBy("key").agg(F.count_distinct("path").alias("paths"), F.min("path").alias("first")).where("paths > 1")
+
+
 def prefix_collisions(paths: DataFrame) -> DataFrame:
-    """(path, below): a path that is also a folder of another. Prefixes meet paths in an
-    equi-join; path pairs are never enumerated."""
-    parts = F.split("path", "/", -1)
+    """(key, below): a path's key that is also a folder of another path's key. Prefixes meet
+    keys in an equi-join; pairs of paths are never enumerated."""
+    parts = F.split("key", "/", -1)
     tops = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    every = paths.select("path").distinct()
-    below = every.select(F.explode(tops).alias("top"), F.col("path").alias("below")).where("top <> below")
-    return every.join(below, F.col("path") == F.col("top")).select("path", "below")
+    every = paths.select(collision_key("path").alias("key")).distinct()
+    below = every.select(F.explode(tops).alias("top"), F.col("key").alias("below")).where("top <> below")
+    return every.join(below, F.col("key") == F.col("top")).select("key", "below")
+
+
+def closure_gaps(refs: DataFrame, sections: DataFrame) -> DataFrame:
+    """(path, hash, gap): references without their section ("missing") and sections that
+    nothing refers to ("extra"); both tables are (path, hash) sets."""
+    a, b = refs.select("path", "hash").distinct(), sections.select("path", "hash").distinct()
+    return a.exceptAll(b).withColumn("gap", F.lit("missing")).unionByName(b.exceptAll(a).withColumn("gap", F.lit("extra")))
+
+
+def byte_limit(topology: Column, level: Column, tile_log2: Column, slices: Column, width: Column) -> Column:
+    """Bytes that a tile's blob may have: header and dense values, 64 MiB at most and where
+    something is unknown."""
+    edge = F.power(F.lit(2.0), F.least(level, tile_log2))
+    cells = F.when(topology == "cube", edge * edge).when(topology == "radial", edge)
+    return F.least(F.lit(MOST_BYTES), F.coalesce(cells * F.coalesce(slices, F.lit(65535)) * F.coalesce(width, F.lit(4)) + 16, F.lit(float(MOST_BYTES)))).cast("long")
+
+
+def limits(index: DataFrame) -> DataFrame:
+    """(digest, limit): the largest limit among the entries (topology, level, tile_log2, slices,
+    width, digest) that refer to a blob."""
+    own = byte_limit(*(F.col(c) for c in ("topology", "level", "tile_log2", "slices", "width")))
+    return index.where("digest is not null").groupBy("digest").agg(F.max(own).alias("limit"))
+
+
+def merkle(sections: DataFrame, body: str = "body") -> DataFrame:
+    """(body, sections, root): a digest of the sorted (path, hash) list of a body's sections;
+    a body has as many as its metadata names."""
+    listed = F.array_sort(F.collect_set(F.concat_ws("=", "path", "hash")))
+    return sections.groupBy(body).agg(F.count_distinct("path", "hash").alias("sections"), F.sha2(F.array_join(listed, ";"), 256).alias("root"))

@@ -12,8 +12,10 @@ from orrery.functions import cube
 
 
 def floor_div(a: Column, b: Column) -> Column:
-    """Integer division that rounds down (``div`` rounds toward zero)."""
-    return ((a - F.pmod(a, b)) / b).cast("long")
+    """Integer division that rounds down, exact for all longs (``div`` rounds toward zero)."""
+    a, b = a.cast("long"), b.cast("long")
+    rest = a % b
+    return F.call_function("div", a, b) - ((rest != 0) & ((rest < 0) != (b < 0))).cast("long")
 
 
 def quantised(value: Column, scale: float, offset: float) -> Column:
@@ -27,7 +29,8 @@ def decoded(raw: Column, scale: float, offset: float, nodata: int | None = None)
 
 
 def dtype_fits(raw: Column, dtype: Column) -> Column:
-    """Whether a raw value fits its storage type; f32 holds 32 bits of a pattern."""
+    """Whether a raw value fits its storage type; f32 holds 32 bits of a pattern.
+    Fixed values: the types' names and ranges."""
     ranges = {"u8": (0, 255), "i8": (-128, 127), "u16": (0, 65535), "i16": (-32768, 32767), "u32": (0, 4294967295), "i32": (-2147483648, 2147483647), "f32": (0, 4294967295)}
     out = None
     for name, (low, high) in ranges.items():
@@ -38,14 +41,17 @@ def dtype_fits(raw: Column, dtype: Column) -> Column:
 def reduced(op: str, raw: str = "raw") -> Column:
     """One of the integer reductions; nodata (null) is left out, all nodata gives null.
 
-    mean rounds half up, rms rounds half up, mode takes the lowest of the most frequent."""
+    mean rounds half up, rms rounds half up, mode takes the lowest of the most frequent.
+    Squares are summed by halves of 16 bits, so that no storage type's values overflow."""
     v, n = F.col(raw).cast("long"), F.count(raw)
+    high, low = F.shiftright(v, 16), v.bitwiseAND(F.lit(0xFFFF))
+    squares = F.sum(high * high).cast("double") * float(1 << 32) + F.sum(high * low).cast("double") * float(1 << 17) + F.sum(low * low).cast("double")
     return {
         "mean": F.when(n > 0, floor_div(2 * F.sum(v) + n, 2 * n)),
         "min": F.min(v),
         "max": F.max(v),
         "sum": F.sum(v),
-        "rms": F.floor(F.sqrt(F.sum(v * v).cast("double") / n) + 0.5),
+        "rms": F.floor(F.sqrt(squares / n) + 0.5),
         "mode": F.mode(v, True),
     }[op]
 

@@ -1,10 +1,16 @@
-"""Hash-chained ledgers: links, content hashes and heads in batch form."""
+"""Hash-chained ledgers: links, content hashes, heads, appending and reading from text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+ENTRY = "seq long, prev string, type string, payload string, t long, hash string"
+
 #: The predecessor of a ledger's first entry.
 GENESIS = "0" * 64
 
@@ -30,3 +36,58 @@ def violations(entries: DataFrame, by: str) -> DataFrame:
 def heads(entries: DataFrame, by: str) -> DataFrame:
     """(by, count, head): each ledger's length and last hash."""
     return entries.groupBy(by).agg(F.count(F.lit(1)).alias("count"), F.max_by("hash", "seq").alias("head"))
+
+
+def digest(payload: str, prev: str, seq: int, t: int, kind: str) -> str:
+    """``content_hash`` in Python, for chains that are built or verified one by one."""
+    return hashlib.sha256("|".join((payload, prev, str(seq), str(t), kind)).encode()).hexdigest()
+
+
+def appended(rows: DataFrame, by: str, order: str, last: DataFrame | None = None) -> DataFrame:
+    """(by, order, seq, prev, type, payload, t, hash): rows (by, order, type, payload, t) as
+    entries behind the heads ``last`` (by, count, head); without those, new ledgers.
+
+    A hash needs the one before, so a ledger is one sorted run; its state is two values, so
+    memory does not grow with it. An empty type or payload is refused."""
+    names = [by, order, "type", "payload", "t"]
+    known = rows.select(*names) if last is None else rows.select(*names).join(last.select(by, "count", "head"), by, "left")
+    known = known if last is not None else known.withColumns({"count": F.lit(0), "head": F.lit(GENESIS)})
+    known = known.withColumns({"count": F.coalesce("count", F.lit(0)).cast("long"), "head": F.coalesce("head", F.lit(GENESIS))})
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, seq, head = None, 0, GENESIS
+        for pdf in batches:
+            out = []
+            for own, place, kind, payload, t, count, start in pdf.itertuples(index=False):
+                if own != key:
+                    key, seq, head = own, int(count), start
+                if not kind or not payload:
+                    raise ValueError("an entry has no type or payload")
+                now = digest(payload, head, seq, int(t), kind)
+                out.append((own, place, seq, head, kind, payload, int(t), now))
+                seq, head = seq + 1, now
+            yield pd.DataFrame(out, columns=[by, order, "seq", "prev", "type", "payload", "t", "hash"])
+
+    dealt = known.select(*names, "count", "head").repartition(by).sortWithinPartitions(by, order)
+    return dealt.mapInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}, {ENTRY}")
+
+
+def to_lines(entries: DataFrame, by: str) -> DataFrame:
+    """(by, seq, line): entries as JSON lines, their members in alphabetical order."""
+    members = [F.col("hash"), F.col("payload"), F.col("prev"), F.col("seq"), F.col("t"), F.col("type")]
+    return entries.select(by, "seq", F.to_json(F.struct(*members)).alias("line"))
+
+
+def from_text(spark: SparkSession, path: str) -> DataFrame:
+    """(ledger, place, seq, prev, type, payload, t, hash, torn) from files of JSON lines, one a
+    ledger, named by its folder ledger=<name> or else by its file. A last line that is no entry is torn: an append was cut off, and
+    verification leaves it out; any other such line has null members, an invalid entry."""
+    lines = spark.read.text(path)
+    name = F.col("ledger") if "ledger" in lines.columns else F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    lines = lines.select(
+        name.alias("ledger"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"), "value"
+    )
+    last = lines.groupBy("ledger").agg(F.max("place").alias("_last"))
+    read = lines.join(last, "ledger").withColumn("e", F.from_json("value", ENTRY))
+    return read.select("ledger", "place", "e.*", (F.col("e.hash").isNull() & (F.col("place") == F.col("_last"))).alias("torn"))

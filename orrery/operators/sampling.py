@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from orrery.functions import adjacency, cube
 from orrery.functions.bits import fenced
 
+#: Rows of a tile and its ring up to which they are broadcast.
+MOST_SENT = 1 << 18
+
 
 def nearest(points: DataFrame, field: DataFrame, level: int) -> DataFrame:
     """``points`` (id, x, y, z) with the value of the cell that holds them (null if none)."""
@@ -28,26 +31,37 @@ def stencil(points: DataFrame, level: int) -> DataFrame:
     four = [F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), ((F.col("fa") if p else 1 - F.col("fa")) * (F.col("fb") if q else 1 - F.col("fb"))).alias("weight")) for p in (0, 1) for q in (0, 1)]
     each = placed.select("id", "face", "i0", "j0", F.inline(F.array(*four)))
     each = each.select("id", "face", (F.col("i0") + F.col("p")).alias("gi"), (F.col("j0") + F.col("q")).alias("gj"), "weight")
-    out_u = F.when(F.col("gi") < 0, 0).when(F.col("gi") >= n, 1)
-    out_v = F.when(F.col("gj") < 0, 2).when(F.col("gj") >= n, 3)
-    each = each.withColumns({"eu": out_u, "ev": out_v})
-    corner = F.col("eu").isNotNull() & F.col("ev").isNotNull()
-    # one crossing, or at a corner both with half the weight each
-    ways = F.when(corner, F.array(F.struct(F.col("eu").alias("edge"), (F.col("weight") / 2).alias("w")), F.struct(F.col("ev").alias("edge"), (F.col("weight") / 2).alias("w")))).otherwise(
-        F.array(F.struct(F.coalesce("eu", "ev").alias("edge"), F.col("weight").alias("w")))
-    )
-    clip = lambda c: F.least(F.greatest(F.col(c), F.lit(0)), F.lit(n - 1))
-    ready = each.select("id", "face", clip("gi").alias("i"), clip("gj").alias("j"), F.inline(ways))
-    inside = ready.where("edge is null").select("id", "face", "i", "j", "w")
-    across = adjacency.step(ready.where("edge is not null"), level).select("id", F.col("nface").alias("face"), F.col("ni").alias("i"), F.col("nj").alias("j"), "w")
-    return inside.unionByName(across).withColumnRenamed("w", "weight")
+    inner = {"i": F.least(F.greatest(F.col("gi"), F.lit(0)), F.lit(n - 1)), "j": F.least(F.greatest(F.col("gj"), F.lit(0)), F.lit(n - 1))}
+    each = each.withColumns(inner).withColumns({"di": F.col("gi") - F.col("i"), "dj": F.col("gj") - F.col("j")})
+    met = adjacency.around(each.select("id", "face", "i", "j", "di", "dj", "weight"), level)
+    share = F.when((F.col("di") != 0) & (F.col("dj") != 0), F.col("weight") / 2).otherwise(F.col("weight"))
+    return met.select("id", F.col("tface").alias("face"), F.col("ti").alias("i"), F.col("tj").alias("j"), share.alias("weight"))
 
 
 def bilinear(points: DataFrame, field: DataFrame, level: int) -> DataFrame:
-    """(id, value, weight): weighted mean of the stencil's cells that have a value."""
-    met = stencil(points, level).join(field.select("face", "i", "j", "value"), ["face", "i", "j"])
-    sums = met.groupBy("id").agg(F.sum(F.col("weight") * F.col("value")).alias("_s"), F.sum("weight").alias("weight"))
-    return sums.select("id", (F.col("_s") / F.col("weight")).alias("value"), "weight")
+    """(id, value, weight): weighted mean of the stencil's cells that have a value; null with
+    weight 0 where none has."""
+    met = stencil(points, level).join(field.select("face", "i", "j", "value"), ["face", "i", "j"], "left")
+    known = F.when(F.col("value").isNotNull(), F.col("weight"))
+    sums = met.groupBy("id").agg(F.sum(F.col("weight") * F.col("value")).alias("_s"), F.coalesce(F.sum(known), F.lit(0.0)).alias("weight"))
+    return sums.select("id", F.when(F.col("weight") > 0, F.col("_s") / F.col("weight")).alias("value"), "weight")
+
+
+def finest(points: DataFrame, field: DataFrame, level: int) -> DataFrame:
+    """``points`` (id, x, y, z) with the value of the finest stored cell, at ``level`` or above,
+    that holds them: (id, value, raw, level_used, key, source).
+
+    ``field`` (level, key, raw, value) holds a pyramid. A point asks for its cell at every
+    level by that cell's key, in one equi-join; the deepest answer counts. Source is native
+    where that is ``level`` itself, pyramid where a coarser cell stands in, null for none."""
+    at = cube.locate(points, F.col("x"), F.col("y"), F.col("z"), level)
+    keyed = at.select("id", cube.key(F.col("face"), F.col("i"), F.col("j"), level).alias("own"))
+    each = F.array(*(F.struct(F.lit(up).alias("level"), cube.ancestor(F.col("own"), up).alias("key")) for up in range(level + 1)))
+    asked = keyed.select("id", F.inline(F.when(F.col("own").isNotNull(), each)))
+    found = asked.join(field.select("level", "key", "raw", "value"), ["level", "key"])
+    best = found.groupBy("id").agg(F.max(F.struct(F.col("level").alias("level_used"), "key", "raw", "value")).alias("b")).select("id", "b.*")
+    source = F.when(F.col("level_used") == level, "native").when(F.col("level_used").isNotNull(), "pyramid")
+    return points.select("id").join(best, "id", "left").select("id", "value", "raw", "level_used", "key", source.alias("source"))
 
 
 def tile_with_halo(field: DataFrame, face: int, i: int, j: int, level: int, tile_log2: int) -> DataFrame:
@@ -64,5 +78,6 @@ def tile_with_halo(field: DataFrame, face: int, i: int, j: int, level: int, tile
     at = at.where(outside > 0).select("gi", "gj", "face", clip("a").alias("i"), clip("b").alias("j"), edge.alias("edge"))
     inner = at.where("edge is null").drop("edge")
     outer = adjacency.step(at.where("edge is not null"), level).select("gi", "gj", F.col("nface").alias("face"), F.col("ni").alias("i"), F.col("nj").alias("j"))
-    # a tile and its ring are few rows of bounded number
-    return field.select("face", "i", "j", "value").join(F.broadcast(inner.unionByName(outer)), ["face", "i", "j"]).select("gi", "gj", "value")
+    asked = inner.unionByName(outer)
+    asked = F.broadcast(asked) if (size + 2) ** 2 <= MOST_SENT else asked
+    return field.select("face", "i", "j", "value").join(asked, ["face", "i", "j"]).select("gi", "gj", "value")

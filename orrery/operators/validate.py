@@ -13,7 +13,7 @@ from orrery.operators.grid import dtype_fits
 PERSISTENCE = ("invariant", "periodic_mean", "initial_state")
 DOWNSAMPLE = ("mean", "min", "max", "sum", "rms", "mode_lowest_tiebreak")
 DTYPES = ("u8", "i8", "u16", "i16", "u32", "i32", "f32")
-INTERP = {"cube": ("bilinear", "nearest"), "radial": ("linear", "nearest")}
+INTERP = {"cube": ("bilinear", "nearest"), "radial": ("linear",)}
 SEMANTIC = r"^(scalar\.[a-z_]+|category|feature_ref|flags)$"
 POSITIVE = r"^(?=.*[1-9])(0|[1-9][0-9]*)(\.[0-9]+)?(e(-?[1-9][0-9]*|0))?$"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orrery.functions import cube
+from orrery.functions import adjacency, cube
 from orrery.operators import grid, sampling
 from orrery.plans import sql
 from orrery.plans.inputs import cells, d1, d2
@@ -108,12 +108,13 @@ def periodic_slices(spark, sf_dir):
 
 
 @query(f"""WITH s AS (SELECT event_type, (((epoch_us(ts) - 1704067200000000) % {_DAY}) * 12 // {_DAY})::INT AS slice, floor(avg(value) * 100 + 0.5e0)::BIGINT AS raw FROM events GROUP BY 1, 2)
-SELECT event_type, floor((2 * sum(raw) + count(raw))::DOUBLE / (2 * count(raw)))::BIGINT AS mean, min(raw) AS low, max(raw) AS high, sum(raw)::BIGINT AS total, floor(sqrt(sum(raw * raw)::DOUBLE / count(raw)) + 0.5e0)::BIGINT AS rms FROM s GROUP BY 1""")
+SELECT event_type, floor((2 * sum(raw) + count(raw))::DOUBLE / (2 * count(raw)))::BIGINT AS mean, min(raw) AS low, max(raw) AS high, sum(raw)::BIGINT AS total, floor(sqrt(sum(raw * raw)::DOUBLE / count(raw)) + 0.5e0)::BIGINT AS rms,
+(SELECT m.raw FROM s m WHERE m.event_type = s.event_type GROUP BY m.raw ORDER BY count(*) DESC, m.raw LIMIT 1) AS mode FROM s GROUP BY 1""")
 def time_reduce(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     at = grid.time_slice(F.unix_micros(F.col("ts").cast("timestamp")), 1704067200000000, _DAY, 12)
     s = e.groupBy("event_type", at.alias("slice")).agg(F.floor(F.avg("value") * 100 + 0.5).alias("raw"))
-    return s.groupBy("event_type").agg(*(grid.reduced(op).alias(name) for op, name in (("mean", "mean"), ("min", "low"), ("max", "high"), ("sum", "total"), ("rms", "rms"))))
+    return s.groupBy("event_type").agg(*(grid.reduced(op).alias(name) for op, name in (("mean", "mean"), ("min", "low"), ("max", "high"), ("sum", "total"), ("rms", "rms"), ("mode", "mode"))))
 
 
 @query(f"WITH {sql.located(sql.D2, 4)}, {_MEANS}, {sql.located(sql.D1, 4, 'p')} SELECT p.id, round(f.value, 6) AS value FROM p LEFT JOIN f USING (face, i, j)")
@@ -128,7 +129,8 @@ c AS (SELECT *, CASE WHEN gi < 0 THEN 0 WHEN gi > 15 THEN 1 END AS eu, CASE WHEN
 e AS (SELECT id, face, i, j, eu AS edge, weight / 2 AS w FROM c WHERE eu IS NOT NULL AND ev IS NOT NULL UNION ALL SELECT id, face, i, j, ev, weight / 2 FROM c WHERE eu IS NOT NULL AND ev IS NOT NULL
   UNION ALL SELECT id, face, i, j, coalesce(eu, ev), weight FROM c WHERE (eu IS NULL) <> (ev IS NULL)), {sql.stepped("e", 4, "g")},
 st AS (SELECT id, nface AS face, ni AS i, nj AS j, w FROM g UNION ALL SELECT id, face, i, j, weight FROM c WHERE eu IS NULL AND ev IS NULL)
-SELECT id, round(sum(w * f.value) / sum(w), 6) AS value, round(sum(w), 9) AS weight FROM st JOIN f USING (face, i, j) GROUP BY id""")
+SELECT id, round(sum(w * f.value) / sum(CASE WHEN f.value IS NOT NULL THEN w END), 6) AS value, round(coalesce(sum(CASE WHEN f.value IS NOT NULL THEN w END), 0), 9) AS weight
+FROM st LEFT JOIN f USING (face, i, j) GROUP BY id""")
 def sample_bilinear(spark, sf_dir):
     out = sampling.bilinear(d1(spark, sf_dir), _field(spark, sf_dir, 4), 4)
     return out.select("id", F.round("value", 6).alias("value"), F.round("weight", 9).alias("weight"))
@@ -142,12 +144,12 @@ def tile_with_halo(spark, sf_dir):
     return sampling.tile_with_halo(_field(spark, sf_dir, 3), 0, 0, 1, 3, 2).select("gi", "gj", F.round("value", 6).alias("value"))
 
 
-@query(f"""WITH {sql.located(sql.D2, 4)}, f AS (SELECT face, i, j, avg(value) AS price, avg(l_quantity) AS quantity, avg(l_discount) AS discount FROM cells GROUP BY face, i, j), {sql.located(sql.D1 + " WHERE vec_id < 50", 4, 'p')}
+@query(f"""WITH {sql.located(sql.D2, 4)}, f AS (SELECT face, i, j, avg(value) AS price, avg(l_quantity) AS quantity, avg(l_discount) AS discount FROM cells GROUP BY face, i, j), {sql.located(sql.D1, 4, 'p')}
 SELECT id, round(price, 6) AS price, round(quantity, 6) AS quantity, round(discount, 9) AS discount FROM p LEFT JOIN f USING (face, i, j)""")
 def inspect_point(spark, sf_dir):
-    """All fields of the cells that hold some points."""
+    """All fields of the cells that hold the points."""
     f = cells(d2(spark, sf_dir), 4).groupBy("face", "i", "j").agg(F.avg("value").alias("price"), F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"))
-    points = cells(d1(spark, sf_dir).where("id < 50"), 4)
+    points = cells(d1(spark, sf_dir), 4)
     return points.join(f, ["face", "i", "j"], "left").select("id", F.round("price", 6).alias("price"), F.round("quantity", 6).alias("quantity"), F.round("discount", 9).alias("discount"))
 
 
@@ -158,11 +160,44 @@ def land_ocean_partition(spark, sf_dir):
     return f.groupBy(F.when(F.col("value") > 40000, "land").otherwise("ocean").alias("class")).agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("measure"), 8).alias("area"))
 
 
-@query(f"""WITH {sql.located(sql.D2, 4)} SELECT face, i // 8 AS i1, i // 2 AS i3, category, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM cells GROUP BY ROLLUP (face, i // 8, i // 2, category)""")
+@query(f"""WITH {sql.located(sql.D2, 4)},
+k AS (SELECT face, {sql.key('face', 'i//8', 'j//8', '1')} AS key1, {sql.key('face', 'i//2', 'j//2', '3')} AS key3, category, value FROM cells)
+SELECT face, key1, key3, category, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM k GROUP BY ROLLUP (face, key1, key3, category)""")
 def level_rollup(spark, sf_dir):
-    """Totals at every prefix of the cell hierarchy at once."""
-    c = cells(d2(spark, sf_dir), 4).select(_face(), F.shiftright("i", 3).alias("i1"), F.shiftright("i", 1).alias("i3"), "category", "value")
-    return c.rollup("face", "i1", "i3", "category").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    """Totals at every prefix of the cells' keys at once."""
+    c = cells(d2(spark, sf_dir), 4).withColumn("key", cube.key(F.col("face"), F.col("i"), F.col("j"), 4))
+    k = c.select(_face(), cube.ancestor(F.col("key"), 1).alias("key1"), cube.ancestor(F.col("key"), 3).alias("key3"), "category", "value")
+    return k.rollup("face", "key1", "key3", "category").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query(f"""WITH {sql.located(sql.D2, 6)},
+{", ".join(f"l{k} AS (SELECT {k} AS level, {sql.key('face', f'i//{1 << (6 - k)}', f'j//{1 << (6 - k)}', str(k))} AS key, floor(avg(value))::BIGINT AS raw FROM cells WHERE l_orderkey % {1 + 9 * (k == 6)} = 0 GROUP BY 2)" for k in (2, 4, 6))},
+f AS (SELECT * FROM l2 UNION ALL SELECT * FROM l4 UNION ALL SELECT * FROM l6), {sql.located(sql.D1, 6, 'p')},
+a AS ({" UNION ALL ".join(f"SELECT id, {k} AS level, {sql.key('face', f'i//{1 << (6 - k)}', f'j//{1 << (6 - k)}', str(k))} AS key FROM p" for k in (2, 4, 6))}),
+m AS (SELECT id, max((f.level, f.key, f.raw)) AS b FROM a JOIN f USING (level, key) GROUP BY id)
+SELECT p.id, b[3] * 0.5e0 AS value, b[3] AS raw, b[1] AS level_used, b[2] AS key, CASE WHEN b[1] = 6 THEN 'native' WHEN b[1] IS NOT NULL THEN 'pyramid' END AS source FROM p LEFT JOIN m ON p.id = m.id""")
+def sample_finest(spark, sf_dir):
+    """The finest stored cell above each point, of a field that is sparse at its native level."""
+    at = cells(d2(spark, sf_dir), 6).withColumn("own", cube.key(F.col("face"), F.col("i"), F.col("j"), 6))
+    stored = None
+    for level in (2, 4, 6):
+        some = at.where("l_orderkey % 10 = 0") if level == 6 else at
+        one = some.groupBy(cube.ancestor(F.col("own"), level).alias("key")).agg(F.floor(F.avg("value")).alias("raw"))
+        one = one.select(F.lit(level).alias("level"), "key", "raw", grid.decoded(F.col("raw"), 0.5, 0.0).alias("value"))
+        stored = one if stored is None else stored.unionByName(one)
+    return sampling.finest(d1(spark, sf_dir), stored, 6)
+
+
+@query(f"""WITH {sql.located(sql.D2, 5)}, {_MEANS}, e AS (SELECT face, i, j, value, edge FROM f, (VALUES (0), (1), (2), (3)) AS ee(edge)), {sql.stepped("e", 5, "g")}
+SELECT g.face <> nface AS seam, count(*)::BIGINT AS pairs, round(avg(abs(f.value - g.value)), 4) AS mean_step, round(max(abs(f.value - g.value)), 4) AS max_step
+FROM g JOIN f ON f.face = nface AND f.i = ni AND f.j = nj GROUP BY 1""")
+def seam_statistics(spark, sf_dir):
+    """Steps between adjacent cells, across the cube's seams and inside its faces."""
+    f = _field(spark, sf_dir, 5)
+    other = f.select(F.col("face").alias("nface"), F.col("i").alias("ni"), F.col("j").alias("nj"), F.col("value").alias("other"))
+    met = adjacency.neighbours(f, 5).join(other, ["nface", "ni", "nj"])
+    step = F.abs(F.col("other") - F.col("value"))
+    return met.groupBy((F.col("face") != F.col("nface")).alias("seam")).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(step), 4).alias("mean_step"), F.round(F.max(step), 4).alias("max_step"))
 
 
 @query(f"WITH {sql.located(sql.D2, 5)}, {_MEANS} SELECT face, i, j, round(value, 6) AS value FROM f ORDER BY value DESC, face, i, j LIMIT 20")
@@ -176,8 +211,6 @@ def highest_cells(spark, sf_dir):
 SELECT g.face, g.i, g.j, round(avg(abs(f.value - g.value)), 6) AS roughness, count(*)::BIGINT AS around FROM g JOIN f ON f.face = nface AND f.i = ni AND f.j = nj GROUP BY g.face, g.i, g.j""")
 def neighbour_roughness(spark, sf_dir):
     """Mean difference to the adjacent cells, across face edges as well."""
-    from orrery.functions import adjacency
-
     f = _field(spark, sf_dir, 5)
     around = adjacency.neighbours(f, 5)
     other = f.select(F.col("face").alias("nface"), F.col("i").alias("ni"), F.col("j").alias("nj"), F.col("value").alias("other"))

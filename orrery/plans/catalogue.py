@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from orrery.plans import analytics, records, streams, topology
+from orrery.plans import analytics, bodies, records, refinement, streams, topology
 
-MODULES = (topology, analytics, records, streams)
+MODULES = (topology, analytics, refinement, bodies, records, streams)
 
 
 def queries() -> dict[str, Callable]:

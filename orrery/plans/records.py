@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orrery.functions import bits, cube, mixing64
-from orrery.operators import content, grid, ledger, states, validate
+from orrery.operators import content, graph, grid, ledger, states, validate
 from orrery.plans import sql
 from orrery.plans.inputs import cells, d1, d2
-from orrery.session import table
+from orrery.session import kept, scratch, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -64,16 +64,16 @@ def index_order_check(spark, sf_dir):
     return content.order_breaks(k, "field", "id").select("id", "field", "key")
 
 
-_PATHS = ["", "/a", "a//b", "a/./b", "a/../b", "a\\\\b", "a:b", "a/b ", "a/b.", "a/nul", "a/COM1.txt", "a/con/b", "ok/file.json", "ok/console", "a|b", "a?"]
+_PATHS = ["x\x7fy", "a/COM\u00b9.txt", "conin$", "CONOUT$", "CONOUT$.txt", "lpt\u00b3", "", "/a", "a//b", "a/./b", "a/../b", "a\\\\b", "a:b", "a/b ", "a/b.", "a/nul", "a/COM1.txt", "a/con/b", "ok/file.json", "ok/console", "a|b", "a?"]
 _URL = "regexp_replace(url, '^[a-z]+://', '')"
 
 
 @query(f"""WITH p AS (SELECT {_URL} AS path FROM pages UNION ALL SELECT * FROM (VALUES {", ".join(f"('{p.replace(chr(92) * 2, chr(92))}')" for p in _PATHS)}) AS v(path)),
 c AS (SELECT path, string_split(path, '/') AS parts FROM p)
 SELECT path, CASE WHEN path = '' THEN 'empty' WHEN path LIKE '/%' THEN 'absolute' WHEN contains(path, chr(92)) THEN 'backslash'
-WHEN len(list_filter(parts, lambda x: x IN ('', '.', '..'))) > 0 THEN 'component' WHEN regexp_matches(path, '[<>:"|?*\\x00-\\x1f\\x7f]') THEN 'character'
+WHEN len(list_filter(parts, lambda x: x IN ('', '.', '..'))) > 0 THEN 'component' WHEN regexp_matches(path, '[<>:"|?*\\x00-\\x1f]') THEN 'character'
 WHEN len(list_filter(parts, lambda x: x LIKE '% ' OR x LIKE '%.')) > 0 THEN 'trailing'
-WHEN len(list_filter(parts, lambda x: regexp_matches(lower(x), '^({content.DEVICES})(\\..*)?$'))) > 0 THEN 'device' END AS error FROM c""")
+WHEN len(list_filter(parts, lambda x: regexp_matches(upper(x), '^(({content.DEVICES})([.].*)?|{content.CONSOLES})$'))) > 0 THEN 'device' END AS error FROM c""")
 def path_grammar(spark, sf_dir):
     urls = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
     made = spark.createDataFrame([(p.replace("\\\\", "\\"),) for p in _PATHS], "path string")
@@ -83,12 +83,23 @@ def path_grammar(spark, sf_dir):
 _TREE = "SELECT DISTINCT source || CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN '/' || (doc_id % 20) ELSE '/' || (doc_id % 20) || '/x' END AS path FROM documents"
 
 
-@query(f"WITH p AS ({_TREE}) SELECT a.path, b.path AS below FROM p a JOIN p b ON starts_with(b.path, a.path || '/')")
+@query(f"WITH p AS (SELECT DISTINCT nfc_normalize(upper(path)) AS key FROM ({_TREE})) SELECT a.key, b.key AS below FROM p a JOIN p b ON starts_with(b.key, a.key || '/')")
 def path_collision_prefix(spark, sf_dir):
     end = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.concat(F.lit("/"), (F.col("doc_id") % 20).cast("string"))).otherwise(F.concat(F.lit("/"), (F.col("doc_id") % 20).cast("string"), F.lit("/x")))
     return content.prefix_collisions(table(spark, sf_dir, "documents").select(F.concat("source", end).alias("path")))
 
 
+_ALIAS = "source || CASE doc_id % 3 WHEN 0 THEN '/é' WHEN 1 THEN '/É' ELSE '/e' || chr(769) END || (doc_id % 30)"
+
+
+@query(f"WITH p AS (SELECT {_ALIAS} AS path FROM documents) SELECT nfc_normalize(upper(path)) AS key, count(DISTINCT path)::BIGINT AS paths, min(path) AS first FROM p GROUP BY 1 HAVING count(DISTINCT path) > 1")
+def path_aliases(spark, sf_dir):
+    """Paths that differ in case or in how letters are composed."""
+    end = F.expr("CASE doc_id % 3 WHEN 0 THEN '/é' WHEN 1 THEN '/É' ELSE concat('/e', decode(unhex('CC81'), 'utf-8')) END")
+    return content.aliases(table(spark, sf_dir, "documents").select(F.concat("source", end, (F.col("doc_id") % 30).cast("string")).alias("path")))
+
+
+#: The text forms of identities.
 _FORMS = {"hash": r"^b3:[0-9a-f]{64}$", "object": r"^obj:[0-9a-f]{32}$", "universe": r"^uni:b3:[0-9a-f]{64}$", "field": r"^0x[0-9a-f]{8}$"}
 _TEXT = """CASE doc_id % 5 WHEN 0 THEN 'b3:' || {h} WHEN 1 THEN 'obj:' || {s32} WHEN 2 THEN 'uni:b3:' || {h} WHEN 3 THEN '0x' || {s8} ELSE 'b3:' || upper({h}) END"""
 
@@ -100,51 +111,101 @@ def text_form_predicates(spark, sf_dir):
 
 
 def _ledger(spark, sf_dir):
-    """Events as ledgers, one a user; every 97th link and every 89th payload is spoiled."""
+    """Events as true ledgers, one a user, built by appending; then some entries' members are
+    changed: every 97th event's link, 89th's type, 83rd's payload."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("type"), F.col("props").alias("payload"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = e.withColumn("seq", F.row_number().over(w) - 1)
-    link = F.sha2(F.concat_ws(":", F.col("user_id").cast("string"), F.col("seq").cast("string")), 256)
-    e = e.withColumn("hash", link)
-    e = e.withColumn("prev", F.coalesce(F.lag("hash").over(w), F.lit(ledger.GENESIS)))
-    return e.withColumn("prev", F.when(F.col("event_id") % 97 == 0, F.lit("f" * 64)).otherwise(F.col("prev"))).withColumn("type", F.when(F.col("event_id") % 89 == 0, "").otherwise(F.col("type")))
+    return kept(ledger.appended(e, "user_id", "event_id"), "ledger")
+
 
+def _spoiled(entries):
+    every = lambda n: F.col("event_id") % n == 0
+    return entries.withColumns(
+        {
+            "prev": F.when(every(97), F.lit("f" * 64)).otherwise(F.col("prev")),
+            "type": F.when(every(89), "").otherwise(F.col("type")),
+            "payload": F.when(every(83), F.concat("payload", F.lit(" "))).otherwise(F.col("payload")),
+        }
+    )
 
-_LEDGER = f"""e AS (SELECT user_id, event_id, event_type AS type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events),
-h AS (SELECT *, sha256(user_id || ':' || seq) AS hash FROM e), l AS (SELECT *, coalesce(lag(hash) OVER (PARTITION BY user_id ORDER BY seq), '{ledger.GENESIS}') AS before FROM h)"""
 
+def _content(prev: str) -> str:
+    return f"sha256(payload || '|' || {prev} || '|' || seq || '|' || t || '|' || type)"
 
-@query(f"WITH {_LEDGER} SELECT user_id, seq, CASE WHEN event_id % 89 = 0 THEN 'InvalidEntry' WHEN event_id % 97 = 0 THEN 'BrokenChain' ELSE 'TamperedEntry' END AS error FROM l")
+
+_LEDGER = f"""RECURSIVE e AS (SELECT user_id, event_id, event_type AS type, props AS payload, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events),
+h AS (SELECT *, '{ledger.GENESIS}' AS prev, {_content(f"'{ledger.GENESIS}'")} AS hash FROM e WHERE seq = 0
+UNION ALL SELECT e.*, h.hash, sha256(e.payload || '|' || h.hash || '|' || e.seq || '|' || e.t || '|' || e.type) FROM h JOIN e ON e.user_id = h.user_id AND e.seq = h.seq + 1)"""
+
+
+@query(f"""WITH {_LEDGER}, s AS (SELECT user_id, event_id, seq, t, hash, prev AS before, CASE WHEN event_id % 97 = 0 THEN repeat('f', 64) ELSE prev END AS prev,
+  CASE WHEN event_id % 89 = 0 THEN '' ELSE type END AS type, CASE WHEN event_id % 83 = 0 THEN payload || ' ' ELSE payload END AS payload FROM h),
+v AS (SELECT user_id, seq, CASE WHEN type = '' THEN 'InvalidEntry' WHEN prev <> before THEN 'BrokenChain' WHEN hash <> {_content('prev')} THEN 'TamperedEntry' END AS error FROM s)
+SELECT * FROM v WHERE error IS NOT NULL""")
 def ledger_chain_verify(spark, sf_dir):
-    """Every entry's verdict: none of these hashes is that of its content."""
-    return ledger.violations(_ledger(spark, sf_dir), "user_id")
+    """The entries of true ledgers that were changed afterwards, and how."""
+    return ledger.violations(_spoiled(_ledger(spark, sf_dir)), "user_id")
 
 
-@query(f"WITH {_LEDGER} SELECT user_id, count(*)::BIGINT AS count, max_by(hash, seq) AS head FROM l GROUP BY user_id")
+@query(f"WITH {_LEDGER} SELECT user_id, count(*)::BIGINT AS count, max_by(hash, seq) AS head FROM h GROUP BY user_id")
 def ledger_heads(spark, sf_dir):
     return ledger.heads(_ledger(spark, sf_dir), "user_id")
 
 
+@query(f"WITH {_LEDGER} SELECT user_id, event_id, seq, prev, hash FROM h")
+def ledger_append(spark, sf_dir):
+    """Ledgers of the first two thirds of all events, to which the others are appended."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("type"), F.col("props").alias("payload"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    cut = e.agg(F.max("event_id")).first()[0] * 2 // 3
+    first = kept(ledger.appended(e.where(F.col("event_id") <= cut), "user_id", "event_id"), "ledger")
+    more = ledger.appended(e.where(F.col("event_id") > cut), "user_id", "event_id", ledger.heads(first, "user_id"))
+    return first.unionByName(more).select("user_id", "event_id", "seq", "prev", "hash")
+
+
+@query(f"WITH {_LEDGER}, n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM h) SELECT user_id, count(*) FILTER (NOT (user_id % 3 = 0 AND seq = n - 1))::BIGINT AS good, count(*) FILTER (user_id % 3 = 0 AND seq = n - 1)::BIGINT AS torn FROM n GROUP BY user_id")
+def ledger_text_scan(spark, sf_dir):
+    """Ledgers written as lines, every third one's last line cut off, and read back."""
+    rows = ledger.to_lines(_ledger(spark, sf_dir), "user_id")
+    last = rows.groupBy("user_id").agg(F.max("seq").alias("last"))
+    line = F.when((F.col("user_id") % 3 == 0) & (F.col("seq") == F.col("last")), F.substring("line", 1, 40)).otherwise(F.col("line"))
+    path = scratch(spark, "lines")
+    cut = rows.join(last, "user_id").select(F.col("user_id").alias("ledger"), "seq", line.alias("line"))
+    cut.repartition("ledger").sortWithinPartitions("ledger", "seq").select("ledger", "line").write.partitionBy("ledger").text(path)
+    read = ledger.from_text(spark, path)
+    checked = ledger.violations(read.where("not torn"), "ledger")
+    sums = read.groupBy("ledger").agg(F.count_if(~F.col("torn")).alias("good"), F.count_if("torn").alias("torn"))
+    bad = checked.groupBy("ledger").agg(F.count(F.lit(1)).alias("bad"))
+    good = (F.col("good") - F.coalesce("bad", F.lit(0))).alias("good")
+    return sums.join(bad, "ledger", "left").select(F.col("ledger").cast("long").alias("user_id"), good, "torn")
+
+
 #: The capabilities that each capability requires.
 REQUIRES = {"solid_surface": [], "topography": ["solid_surface"], "tectonics": ["solid_surface"], "ocean": ["solid_surface", "topography"], "climate": [], "surface_material": ["solid_surface"], "thermal_state": [], "stellar_structure": []}
-_EDGES = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, bs in REQUIRES.items() for b in bs) + ") AS r(id, needs)"
-_CLOSURE = f"WITH RECURSIVE c(id, needs, depth) AS (SELECT id, needs, 1 FROM {_EDGES} UNION ALL SELECT c.id, r.needs, c.depth + 1 FROM c JOIN {_EDGES} ON r.id = c.needs WHERE c.depth < 16) SELECT id, needs, min(depth) AS depth FROM c GROUP BY id, needs"
+#: Every part requires that of a third of its key, and some the next one, which requires them.
+_EDGES = """SELECT p_partkey AS id, p_partkey // 3 AS needs FROM part WHERE p_partkey >= 3 UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey % 50 = 7 UNION SELECT p_partkey + 1, p_partkey FROM part WHERE p_partkey % 50 = 7"""
 
 
-@query(_CLOSURE)
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), c(id, needs, depth) AS (SELECT id, needs, 1 FROM e UNION SELECT c.id, e.needs, c.depth + 1 FROM c JOIN e ON e.id = c.needs WHERE c.depth < 20)
+SELECT id, needs, min(depth)::INT AS depth, id = needs AS cyclic FROM c GROUP BY id, needs""")
 def capability_closure(spark, sf_dir):
-    """What each capability requires, directly or through others; depth bounds a cycle."""
-    return spark.sql(_CLOSURE)
+    """What each part requires, directly or through others; a part that requires itself is on a cycle."""
+    k, p = F.col("p_partkey"), table(spark, sf_dir, "part")
+    some = p.where(k % 50 == 7)
+    edges = p.where(k >= 3).select(k.alias("id"), F.expr("p_partkey div 3").alias("needs")).unionByName(some.select(k.alias("id"), (k + 1).alias("needs"))).unionByName(some.select((k + 1).alias("id"), k.alias("needs")))
+    return graph.closure(edges).withColumn("cyclic", F.col("id") == F.col("needs"))
 
 
-_BASES = "(VALUES ('figure', NULL, 0e0), ('datum', 'figure', 120.5e0), ('sea', 'datum', -3.25e0), ('cloud', 'sea', 900e0)) AS s(id, base, offset_m)"
-_CHAIN = f"WITH RECURSIVE c(id, below, offset_m, steps) AS (SELECT id, base, offset_m, 0 FROM {_BASES} UNION ALL SELECT c.id, s.base, c.offset_m + s.offset_m, c.steps + 1 FROM c JOIN {_BASES} ON s.id = c.below WHERE c.steps < 16) SELECT id, offset_m, steps FROM c WHERE below IS NULL"
+#: A base's row lies at half the key; some rows are based on each other, some on none that is.
+_BASES = """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 90 = 5 THEN s_suppkey + 1 WHEN s_suppkey % 90 = 6 THEN s_suppkey - 1 WHEN s_suppkey % 77 = 0 THEN -s_suppkey WHEN s_suppkey > 1 THEN s_suppkey // 2 END AS base, s_acctbal AS v FROM supplier"""
 
 
-@query(_CHAIN)
+@query(f"""WITH RECURSIVE s AS ({_BASES}), c(id, pos, total, steps) AS (SELECT id, id, 0e0, 0 FROM s UNION ALL SELECT c.id, s.base, c.total + s.v, c.steps + 1 FROM c JOIN s ON s.id = c.pos WHERE s.base IS NOT NULL AND c.steps < 40),
+z AS (SELECT c.*, s.id IS NULL AS lost, s.base IS NULL AS done FROM c LEFT JOIN s ON s.id = c.pos), l AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY id ORDER BY steps DESC) = 1)
+SELECT id, CASE WHEN lost THEN 'dangling' WHEN NOT done THEN 'cycle' END AS code, CASE WHEN done AND NOT lost THEN pos END AS "end", CASE WHEN done AND NOT lost THEN round(total, 4) END AS total, CASE WHEN done AND NOT lost THEN steps::BIGINT END AS steps FROM l""")
 def surface_chain(spark, sf_dir):
-    """Each surface's offset over the surface that its chain of bases ends at."""
-    return spark.sql(_CHAIN)
+    """Each surface's offset over the one that its chain of bases ends at."""
+    base = F.expr("CASE WHEN s_suppkey % 90 = 5 THEN s_suppkey + 1 WHEN s_suppkey % 90 = 6 THEN s_suppkey - 1 WHEN s_suppkey % 77 = 0 THEN -s_suppkey WHEN s_suppkey > 1 THEN s_suppkey div 2 END")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), base.alias("base"), F.col("s_acctbal").alias("v"))
+    return graph.chains(rows, "v").withColumn("total", F.round("total", 4))
 
 
 @query("""WITH f AS (SELECT n_nationkey, n_name, r_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS ordinal FROM nation JOIN region ON n_regionkey = r_regionkey)
@@ -176,7 +237,7 @@ def latest_state_asof(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     asked = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("query_id"))
     known = e.where("event_type <> 'purchase'").select("user_id", "ts", F.col("event_id").alias("state_id"))
-    return states.as_of(asked, known, "user_id", "ts", ["state_id"]).select("query_id", "user_id", "state_id")
+    return states.as_of(asked, known, "user_id", "ts", ["state_id"], F.unix_date(F.col("ts").cast("date"))).select("query_id", "user_id", "state_id")
 
 
 @query("""WITH l AS (SELECT user_id % 50 AS grp, user_id, max_by(event_type, (ts, event_type = 'purchase')) AS last FROM events WHERE event_type IN ('purchase', 'click') GROUP BY ALL)
@@ -207,6 +268,7 @@ def uniqueness_violations(spark, sf_dir):
 
 
 _DECIMALS = ["1", "1.0", "-0", "0", "-12.50", "1e5", "1E5", "1e+5", "01", ".5", "5.", "1e-7", "12.5e3", "1e05", "-1e9999", "abc", "", "1e99999999999", "-3.00e-2"]
+#: Fixed value: the grammar of decimal texts.
 _DEC = r"^(-?)(0|[1-9][0-9]*)(?:\.([0-9]+))?(?:e(-?[1-9][0-9]*|0))?$"
 
 
@@ -239,34 +301,18 @@ def utime_parse(spark, sf_dir):
     return v.select("text", (F.rlike("text", F.lit("^(0|-?[1-9][0-9]*)$")) & fits).alias("valid"), F.when(F.rlike("text", F.lit("^(0|-?[1-9][0-9]{0,17})$")), F.col("text").try_cast("long")).alias("nanos"))
 
 
-def _sql_mix(x: str, name: str, source: str) -> str:
-    """CTEs: column x (unsigned, wide) of ``source`` through the finaliser, as <name>.m"""
-    m = "18446744073709551616::UHUGEINT"
-    out = [f"{name}0 AS (SELECT *, {x}::UHUGEINT AS m0 FROM {source})"]
-    for k, (shift, factor) in enumerate(mixing64.STEPS):
-        step = f"xor(m{k}::UBIGINT, (m{k}::UBIGINT >> {shift}))"
-        if factor:
-            # the product of two 64-bit numbers by halves, so that it stays in 128 bits
-            lo, hi = factor & 0xFFFFFFFF, factor >> 32
-            step = f"((s * {lo}::UHUGEINT + ((s * {hi}::UHUGEINT) % 4294967296::UHUGEINT) * 4294967296::UHUGEINT) % {m})"
-            out.append(f"{name}{k + 1} AS (SELECT * EXCLUDE (s), {step} AS m{k + 1} FROM (SELECT *, xor(m{k}::UBIGINT, (m{k}::UBIGINT >> {shift}))::UHUGEINT AS s FROM {name}{k}))")
-        else:
-            out.append(f"{name} AS (SELECT * EXCLUDE (m0, m1, m2), {step}::UHUGEINT AS m FROM {name}{k})")
-    return ",\n".join(out)
-
-
 _SIGNED = "CASE WHEN {0} >= 9223372036854775808 THEN ({0}::HUGEINT - 18446744073709551616)::BIGINT ELSE {0}::BIGINT END"
 
 
-@query(f"WITH b AS (SELECT DISTINCT l_orderkey AS id, l_orderkey * 1000003 AS x FROM lineitem), {_sql_mix('x', 'f', 'b')} SELECT id, {_SIGNED.format('m')} AS mixed FROM f")
+@query(f"WITH b AS (SELECT DISTINCT l_orderkey AS id, l_orderkey * 1000003 AS x FROM lineitem), {sql.mixed('x', 'f', 'b')} SELECT id, {_SIGNED.format('m')} AS mixed FROM f")
 def mix64(spark, sf_dir):
     b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")).distinct().withColumn("x", F.col("id") * 1000003)
     return mixing64.with_mix64(b, "x", "mixed").select("id", "mixed")
 
 
 @query(
-    f"WITH b AS (SELECT DISTINCT l_orderkey AS id, xor(l_orderkey * 1000003, 81985529216486895)::UBIGINT AS x, (l_orderkey % 4)::UHUGEINT AS q FROM lineitem), {_sql_mix('x', 'f', 'b')}, "
-    f"g AS (SELECT id, (m + q * {mixing64.GOLDEN}::UHUGEINT) % 18446744073709551616::UHUGEINT AS y FROM f), {_sql_mix('y', 'h', 'g')} SELECT id, {_SIGNED.format('m')} AS detail FROM h"
+    f"WITH b AS (SELECT DISTINCT l_orderkey AS id, xor(l_orderkey * 1000003, 81985529216486895)::UBIGINT AS x, (l_orderkey % 4)::UHUGEINT AS q FROM lineitem), {sql.mixed('x', 'f', 'b')}, "
+    f"g AS (SELECT id, (m + q * {mixing64.GOLDEN}::UHUGEINT) % 18446744073709551616::UHUGEINT AS y FROM f), {sql.mixed('y', 'h', 'g')} SELECT id, {_SIGNED.format('m')} AS detail FROM h"
 )
 def detail_hash(spark, sf_dir):
     b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")).distinct().withColumns({"x": F.col("id") * 1000003, "q": F.col("id") % 4})
@@ -282,19 +328,6 @@ def zigzag_fieldid(spark, sf_dir):
     return l.select(F.col("l_orderkey").alias("id"), "zig", bits.unzigzag(F.col("zig")).alias("back"), F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(field), 8, "0"))).alias("field_id")).distinct()
 
 
-@query(f"""WITH {sql.located(sql.D2, 5)}, f AS (SELECT face, i, j, floor(avg(value))::BIGINT AS p FROM cells GROUP BY face, i, j) SELECT face, i, j, 4 * p AS total, 4::BIGINT AS children FROM f""")
-def refine_children(spark, sf_dir):
-    """Children below the stored level; their sums are exactly four times their parents."""
-    f = cells(d2(spark, sf_dir), 5).groupBy("face", "i", "j").agg(F.floor(F.avg("value")).alias("p"))
-    out = f
-    for name, di, dj in (("w", -1, 0), ("e", 1, 0), ("s", 0, -1), ("n", 0, 1), ("sw", -1, -1), ("se", 1, -1), ("nw", -1, 1), ("ne", 1, 1)):
-        side = f.select("face", (F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("p").alias(name))
-        out = out.join(side, ["face", "i", "j"], "left")
-    out = out.withColumn("key", cube.key(F.col("face"), F.col("i"), F.col("j"), 5))
-    kids = states.refined(out, 81985529216486895, 1 << 10)
-    return kids.groupBy(F.col("face").cast("int").alias("face"), "i", "j").agg(F.sum("child").alias("total"), F.count(F.lit(1)).alias("children"))
-
-
 @query("SELECT c_custkey AS id, CASE WHEN e < -1e-9 THEN 'bound' WHEN e > 1e-9 THEN 'unbound' ELSE 'escaping' END AS orbit FROM (SELECT c_custkey, c_acctbal * c_acctbal / 2e6 - 398600.4418e0 / (6371e0 + c_custkey) AS e FROM customer)")
 def orbit_energy_class(spark, sf_dir):
     """Specific orbital energy from speed and distance, by its sign."""
@@ -345,12 +378,6 @@ def metadata_violations(spark, sf_dir):
     return validate.fields(p, domains, known)
 
 
-@query("SELECT count(*)::BIGINT AS fields, count(DISTINCT p_brand)::BIGINT AS capabilities, count(DISTINCT p_type)::BIGINT AS domains, count(*) FILTER (p_size > 25)::BIGINT AS large FROM part")
-def metadata_summary(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.agg(F.count(F.lit(1)).alias("fields"), F.count_distinct("p_brand").alias("capabilities"), F.count_distinct("p_type").alias("domains"), F.count_if(F.col("p_size") > 25).alias("large"))
-
-
 @query("""WITH o AS (SELECT o_orderkey AS id, (o_orderkey % 90) / 100e0 AS k, (o_custkey % 6283) / 1000e0 AS m FROM orders),
 e AS (SELECT id, k, m, list_reduce(list_concat([m + k * sin(m)], [0e0, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0]), lambda a, b: a - (a - k * sin(a) - m) / (1 - k * cos(a))) AS e FROM o)
 SELECT id, round(e, 6) AS anomaly, round(1 - k * cos(e), 6) AS radius FROM e""")

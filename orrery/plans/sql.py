@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.functions import adjacency
+from orrery.functions import adjacency, mixing64
 from orrery.functions.cube import FACE_UV, FACE_XYZ
 
 D1 = "SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings"
@@ -77,3 +77,22 @@ def stepped(source: str, level: int, name: str) -> str:
 {name} AS (SELECT * EXCLUDE (aface, aedge, to_face, to_edge, flip, inside, along0, along, rim), CASE WHEN inside THEN face ELSE to_face END AS nface,
   (CASE WHEN inside THEN i + CASE edge WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END WHEN to_edge < 2 THEN rim ELSE along END)::BIGINT AS ni,
   (CASE WHEN inside THEN j + CASE edge WHEN 2 THEN -1 WHEN 3 THEN 1 ELSE 0 END WHEN to_edge < 2 THEN along ELSE rim END)::BIGINT AS nj FROM {name}_b)"""
+
+
+def mixed(x: str, name: str, source: str, seed: int | None = None) -> str:
+    """CTEs: column x of ``source``, modulo 2^64 and under xor with a seed, through the
+    finaliser, as <name>.m; wide integers hold the unsigned steps."""
+    m = "18446744073709551616::UHUGEINT"
+    first = f"(CASE WHEN {x}::HUGEINT < 0 THEN {x}::HUGEINT + 18446744073709551616 ELSE {x}::HUGEINT END)::UBIGINT"
+    first = first if seed is None else f"xor({first}, {seed}::UBIGINT)"
+    out = [f"{name}0 AS (SELECT *, {first}::UHUGEINT AS m0 FROM {source})"]
+    for k, (shift, factor) in enumerate(mixing64.STEPS):
+        step = f"xor(m{k}::UBIGINT, (m{k}::UBIGINT >> {shift}))"
+        if factor:
+            # the product of two 64-bit numbers by halves, so that it stays in 128 bits
+            lo, hi = factor & 0xFFFFFFFF, factor >> 32
+            product = f"((half_ * {lo}::UHUGEINT + ((half_ * {hi}::UHUGEINT) % 4294967296::UHUGEINT) * 4294967296::UHUGEINT) % {m})"
+            out.append(f"{name}{k + 1} AS (SELECT * EXCLUDE (half_), {product} AS m{k + 1} FROM (SELECT *, {step}::UHUGEINT AS half_ FROM {name}{k}))")
+        else:
+            out.append(f"{name} AS (SELECT * EXCLUDE (m0, m1, m2), {step}::UHUGEINT AS m FROM {name}{k})")
+    return ",\n".join(out)

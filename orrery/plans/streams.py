@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from orrery.functions import codec
 from orrery.plans import sql
 from orrery.plans.inputs import cells, d2
-from orrery.session import table
+from orrery.session import scratch, table
 from orrery.sources import tiles
 from orrery.streaming import windows
 
@@ -28,26 +25,20 @@ def query(oracle: str | None = None):
     return keep
 
 
-def _place(spark, name: str) -> str:
-    """A fresh path in the shared folder; a temporary one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="orrery-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 _CLOSED = "epoch_us(start) + {0} <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000"
 
 
 @query(f"""WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total, max(value) AS high FROM events GROUP BY ALL)
 SELECT epoch_us(start) AS start_us, event_type, n, total, high FROM w WHERE {_CLOSED.format(3600000000)}""")
 def stream_tumbling(spark, sf_dir):
-    out = windows.drained(windows.tumbling(windows.events(spark, sf_dir), "1 hour", "1 hour"), _place(spark, "tumbling"))
+    out = windows.drained(windows.tumbling(windows.events(spark, sf_dir), "1 hour", "1 hour"), scratch(spark, "tumbling"))
     return out.select(F.unix_micros("window.start").alias("start_us"), "event_type", "n", F.round("total", 4).alias("total"), "high")
 
 
 @query(f"""WITH s AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS start, event_type, value FROM events, range(4) AS r(k)),
 w AS (SELECT start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM s GROUP BY ALL) SELECT epoch_us(start) AS start_us, event_type, n, total FROM w WHERE {_CLOSED.format(7200000000)}""")
 def stream_sliding(spark, sf_dir):
-    out = windows.drained(windows.sliding(windows.events(spark, sf_dir), "2 hours", "30 minutes", "1 hour"), _place(spark, "sliding"))
+    out = windows.drained(windows.sliding(windows.events(spark, sf_dir), "2 hours", "30 minutes", "1 hour"), scratch(spark, "sliding"))
     return out.select(F.unix_micros("window.start").alias("start_us"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -55,7 +46,7 @@ def stream_sliding(spark, sf_dir):
 i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g), s AS (SELECT user_id, session, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) AS last, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM i GROUP BY ALL)
 SELECT user_id, start_us, n, total FROM s WHERE last + 21600000000 <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000""")
 def stream_sessions(spark, sf_dir):
-    out = windows.drained(windows.sessions(windows.events(spark, sf_dir), "6 hours", "1 hour"), _place(spark, "sessions"))
+    out = windows.drained(windows.sessions(windows.events(spark, sf_dir), "6 hours", "1 hour"), scratch(spark, "sessions"))
     return out.select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n", F.round("total", 4).alias("total"))
 
 
@@ -63,7 +54,7 @@ def stream_sessions(spark, sf_dir):
 def tile_pack_roundtrip(spark, sf_dir):
     """Cells written as packed, deduplicated tiles and read back."""
     c = cells(d2(spark, sf_dir), 5).groupBy("face", "i", "j").agg(F.floor(F.avg("value")).alias("raw"))
-    path = _place(spark, "tiles")
+    path = scratch(spark, "tiles")
     tiles.write(c, path, 0x01010001, 5, 3, "i32", -1)
     return tiles.read(spark, path, -1).select(F.col("face").cast("int").alias("face"), "i", "j", "raw")
 
@@ -78,17 +69,19 @@ def blake3_ids(spark, sf_dir):
     return texts.select(F.concat(F.lit("b3:"), codec.blake3_hex("text")).alias("id"), F.length("text").alias("size"))
 
 
-@query("SELECT DISTINCT props AS props, replace(props, ' ', '') AS canonical FROM events")
-def jcs_canonical(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("props").distinct().withColumn("canonical", codec.canonical_or_null("props"))
+#: A document with members out of order, escapes and numbers in other forms, and its canonical text.
+_LOOSE = r"""{ "z": [ #line, null , true ], "\u00e9": "#flag\u002f\n", "a": {"b": #order , "B": -0 , "\ud83d\ude00": 1, "\ufb33": 2}}"""
+_TIGHT = r"""{"a":{"B":0,"b":#order,"#smile":1,"#dalet":2},"z":[#line,null,true],"é":"#flag/\n"}""".replace("#smile", "\U0001f600").replace("#dalet", "\ufb33")
 
 
-@query("SELECT l_returnflag AS category, count(DISTINCT l_orderkey)::BIGINT AS orders, approx FROM lineitem, (SELECT true AS approx) GROUP BY ALL")
-def distinct_sketch(spark, sf_dir):
-    """Distinct counts, and whether the sketch comes within 5 % of them."""
-    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("category"))  # noqa: E741
-    near = F.abs(F.approx_count_distinct("l_orderkey", 0.01) / F.count_distinct("l_orderkey") - 1) < 0.05
-    return l.agg(F.count_distinct("l_orderkey").alias("orders"), near.alias("approx"))
+@query(f"SELECT DISTINCT l_orderkey AS id, l_linenumber AS line, replace(replace(replace('{_TIGHT}', '#line', l_linenumber::VARCHAR), '#order', l_orderkey::VARCHAR), '#flag', l_returnflag) AS canonical FROM lineitem")
+def jcs_canonical(spark, sf_dir):
+    """Canonical JSON: names in UTF-16 order, so that a pair of surrogates comes before U+FB33."""
+    doc = F.lit(_LOOSE)
+    for name, column in (("line", "l_linenumber"), ("order", "l_orderkey"), ("flag", "l_returnflag")):
+        doc = F.replace(doc, F.lit(f"#{name}"), F.col(column).cast("string"))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), doc.alias("doc"))  # noqa: E741
+    return l.select("id", "line", codec.canonical_or_null("doc").alias("canonical")).distinct()
 
 
 @query("SELECT DISTINCT dense_rank() OVER (ORDER BY l_returnflag)::INT AS code, l_returnflag AS label, count(*) OVER (PARTITION BY l_returnflag)::BIGINT AS n FROM lineitem")

@@ -6,10 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from orrery.functions import adjacency, cube, radial
+from orrery.functions import adjacency, cube, ids, radial
 from orrery.plans import sql
 from orrery.plans.inputs import cells, d1, d2
-from orrery.session import table
+from orrery.session import kept, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -140,9 +140,57 @@ _TOP = cube.subtree((1 << 61 | 0b10 << 59) | 1 << 58)
 
 @query(f"WITH {sql.located(sql.D2, 9)} SELECT count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM cells WHERE face = 1 AND i >= 256 AND j < 256")
 def subtree_filter(spark, sf_dir):
-    """Cells below one cell of level 1 as a range of keys."""
+    """Cells below one cell of level 1, from a table stored in key order: the range of keys
+    reaches the scan, which passes over files and row groups beyond it."""
     keyed = cells(d2(spark, sf_dir), 9).withColumn("key", cube.key(F.col("face"), F.col("i"), F.col("j"), 9))
-    return keyed.where(F.col("key").between(*_TOP)).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    stored = kept(keyed.select("key", "value").repartitionByRange("key").sortWithinPartitions("key"), "cells")
+    return stored.where(F.col("key").between(*_TOP)).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query(f"""WITH {sql.located(sql.D1, 10)}, k AS (SELECT id, (id % 12)::INT AS level, i, CASE WHEN id % 5 = 0 THEN {sql.key('face', 'i', 'j', '10')} WHEN id % 5 = 1 THEN 0 ELSE {sql.key('face', 'i//16', 'j//16', '6')} END AS key,
+x / sqrt(x*x + y*y + z*z) * CASE WHEN id % 3 = 0 THEN 1.000001e0 ELSE 1e0 END AS ux, y / sqrt(x*x + y*y + z*z) AS uy, z / sqrt(x*x + y*y + z*z) AS uz FROM cells)
+SELECT id, abs(ux*ux + uy*uy + uz*uz - 1) <= 1e-12 AS is_unit, CASE WHEN id % 5 = 1 THEN false WHEN id % 5 = 0 THEN greatest(0, level - 3) = 10 ELSE greatest(0, level - 3) = 6 END AS is_tile,
+(level = 9 AND i % 512 < 64) AS is_shell_tile, id % 4 = 1 AS is_extent FROM k""")
+def key_validity(spark, sf_dir):
+    """Directions, tile keys of both topologies and extents against their rules."""
+    c = cells(d1(spark, sf_dir), 10).withColumn("level", (F.col("id") % 12).cast("int"))
+    own = cube.key(F.col("face"), F.col("i"), F.col("j"), 10)
+    c = c.withColumn("key", F.when(F.col("id") % 5 == 0, own).when(F.col("id") % 5 == 1, 0).otherwise(cube.ancestor(own, 6)))
+    size = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    stretch = F.when(F.col("id") % 3 == 0, 1.000001).otherwise(1.0)
+    extent = F.element_at(F.array(F.lit(0.0), F.lit(6.4e6), F.lit(-1.0), F.lit(1e200)), (F.col("id") % 4 + 1).cast("int"))
+    shell = radial.is_tile_key(F.lit(512) + F.col("i") % 512, F.col("level"), 3)
+    judged = cube.is_tile_key(c, "key", "level", 3)
+    return judged.select("id", cube.is_unit(F.col("x") / size * stretch, F.col("y") / size, F.col("z") / size).alias("is_unit"), "is_tile", shell.alias("is_shell_tile"), radial.is_extent(extent).alias("is_extent"))
+
+
+@query(f"WITH {sql.located(sql.D1, 6)} SELECT id, face, i, j FROM cells")
+def axial_roundtrip(spark, sf_dir):
+    """Directions to axial latitude and longitude, back again, and placed."""
+    points = cube.with_latlon(cube.normalised(d1(spark, sf_dir), F.col("x"), F.col("y"), F.col("z")))
+    back = cube.with_axial(points.select("id", "lat", "lon"), F.col("lat"), F.col("lon"))
+    return cube.locate(back, F.col("dx"), F.col("dy"), F.col("dz"), 6).select("id", *_cell())
+
+
+_ULEB = "array_to_string(list_transform(range(10), lambda k: CASE WHEN k > 0 AND {0} // (128::HUGEINT ** k)::HUGEINT = 0 THEN '' ELSE lpad(lower(to_hex((({0} // (128::HUGEINT ** k)::HUGEINT) % 128 + CASE WHEN {0} // (128::HUGEINT ** (k + 1))::HUGEINT > 0 THEN 128 ELSE 0 END)::BIGINT)), 2, '0') END), '')"
+
+
+@query(f"""WITH a AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 2 * o_custkey ELSE greatest(2 * o_custkey - 1, 0) END::HUGEINT AS x, (o_orderkey * 2)::HUGEINT AS y, floor(o_totalprice)::HUGEINT * 1000 AS s FROM orders)
+SELECT id, '01' || {_ULEB.format('x')} || {_ULEB.format('y')} || '00' || {_ULEB.format('s')} AS address FROM a""")
+def birth_addresses(spark, sf_dir):
+    """Addresses of systems in a lattice: zigzagged coordinates and a slot, seven bits a byte."""
+    o = table(spark, sf_dir, "orders")
+    x = F.col("o_custkey") * F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1)
+    none = F.lit(None).cast("string")
+    made = ids.address(F.lit("system_seed"), x, F.col("o_orderkey"), F.lit(0), F.floor("o_totalprice") * 1000, none, F.lit(None).cast("int"), F.lit(None).cast("long"), none)
+    return o.select(F.col("o_orderkey").alias("id"), made.alias("address"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE -o_custkey END AS ix, o_orderkey AS iy, 0::BIGINT AS iz, floor(o_totalprice)::BIGINT * 1000 AS slot FROM orders")
+def address_decode(spark, sf_dir):
+    """Those addresses read back."""
+    back = ids.with_region(birth_addresses(spark, sf_dir), "address")
+    return back.select("id", "ix", "iy", "iz", "slot")
 
 
 _R = f"r AS (SELECT o_orderkey AS id, least(floor(o_totalprice / {EXT} * 1024e0), 1023)::BIGINT AS idx FROM orders)"

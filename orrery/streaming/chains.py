@@ -2,33 +2,32 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from orrery.operators.ledger import GENESIS
+from orrery.operators.ledger import GENESIS, digest
 
 
 def _verdicts(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Entries come in order, batch by batch; what is kept is the count and the head."""
     count, head = state.get if state.exists else (0, GENESIS)
-    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    out = []
-    for r in rows.itertuples():
-        text = "|".join((r.payload or "", r.prev or "", str(r.seq), str(r.t), r.type or ""))
-        error = None
-        if not r.type or not r.payload or r.seq != count:
-            error = "InvalidEntry"
-        elif r.prev != head:
-            error = "BrokenChain"
-        elif r.hash != hashlib.sha256(text.encode()).hexdigest():
-            error = "TamperedEntry"
-        count, head = count + 1, r.hash
-        out.append((key[0], r.seq, error, head))
+    for rows in batches:
+        out = []
+        for r in rows.itertuples():
+            error = None
+            if not r.type or not r.payload or r.seq != count:
+                error = "InvalidEntry"
+            elif r.prev != head:
+                error = "BrokenChain"
+            elif r.hash != digest(r.payload, r.prev, r.seq, r.t, r.type):
+                error = "TamperedEntry"
+            count, head = count + 1, r.hash
+            out.append((key[0], r.seq, error, head))
+        yield pd.DataFrame(out, columns=["ledger", "seq", "error", "head"])
     state.update((count, head))
-    yield pd.DataFrame(out, columns=["ledger", "seq", "error", "head"])
 
 
 def verified(entries: DataFrame) -> DataFrame:

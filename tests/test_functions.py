@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.functions import adjacency, bits, codec, cube, mixing64, radial
+from orrery.functions import adjacency, bits, codec, cube, documents, ids, mixing64, radial
 
 
 def test_golden_cube_keys(spark):
@@ -127,3 +127,70 @@ def test_damaged_blobs_are_refused():
     for bad in (good[:-1], b"XXXX" + good[4:], good[:6] + b"\1" + good[7:], good[:8] + b"\0\0" + good[10:]):
         with pytest.raises(ValueError):
             codec.unpack_raster(bad)
+
+
+def test_damaged_frames_are_refused():
+    data = codec.store(bytes(range(256)) * 40)
+    assert codec.restore(data) == bytes(range(256)) * 40
+    for bad in (data[:-6], data[: len(data) // 2], data[:3], b"", data + b"x", data + data):
+        with pytest.raises(ValueError):
+            codec.restore(bad)
+
+
+def test_json_that_has_no_canonical_form():
+    for text, floats in (("1" * 400, True), ('"\\ud800"', False), ('{"\\udc00": 1}', True), ("1.5", False), ('{"a": 1, "\\u0061": 2}', False)):
+        with pytest.raises(ValueError):
+            codec.canonical_json(text, floats)
+
+
+def test_indexes_of_tiles_only():
+    entry = lambda level, key: [(level, key, 5, None)]
+    assert codec.unpack_index(codec.pack_index(1 << 16 | 1, 1, 3, entry(3, 1 << 60)))[3] == entry(3, 1 << 60)
+    assert codec.unpack_index(codec.pack_index(1 << 16 | 1, 2, 3, entry(5, 32 + 3)))[3] == entry(5, 35)
+    for field, topology, tile, e in ((1, 1, 3, entry(3, 1 << 60)), (1 << 16, 1, 3, entry(3, 1 << 60)), (1 << 16 | 1, 3, 3, []), (1 << 16 | 1, 1, 31, []), (1 << 16 | 1, 1, 3, entry(4, 1 << 60)), (1 << 16 | 1, 1, 3, entry(3, 7 << 61 | 1 << 60)), (1 << 16 | 1, 2, 3, entry(5, 32 + 4)), (1 << 16 | 1, 2, 3, entry(31, 1))):
+        with pytest.raises(ValueError):
+            codec.pack_index(field, topology, tile, e)
+
+
+def test_constants_as_bytes():
+    assert codec.const_bytes(-2, "i16") == b"\xfe\xff" and codec.const_bytes(0x3F800000, "f32") == b"\x00\x00\x80?"
+    with pytest.raises(ValueError):
+        codec.const_bytes(256, "u8")
+
+
+def test_addresses_and_seeds(spark):
+    form = "kind string, ix long, iy long, iz long, slot long, system string, role int, ordinal long, name string"
+    rows = [("system_seed", -1, 64, 0, 300, *[None] * 4), ("free_object", -(1 << 63), (1 << 63) - 1, 5, (1 << 32) - 1, *[None] * 4), ("fixture", *[None] * 7, "é"), ("body_in_system", *[None] * 4, "ab" * 16, 3, 200, None)]
+    wrong = [("x", 1, 1, 1, 1, *[None] * 4), ("system_seed", 1, 1, 1, 1 << 32, *[None] * 4), ("fixture", *[None] * 7, ""), ("body_in_system", *[None] * 4, "AB" * 16, 3, 200, None)]
+    df = spark.createDataFrame(rows + wrong, form)
+    made = df.select(*df.columns, ids.address(*(F.col(c) for c in df.columns)).alias("address"))
+    got = [r.address for r in made.collect()]
+    assert got == ["0101800100ac02", "03ffffffffffffffffff01feffffffffffffffff010affffffff0f", "0402c3a9", "02" + "ab" * 16 + "03c801", None, None, None, None]
+    back = ids.with_region(made.select("address"), "address").collect()
+    assert [tuple(r)[1:] for r in back[:2]] == [r[:5] for r in rows[:2]] and all(r.kind is None for r in back[2:])
+    bad = spark.createDataFrame([(x,) for x in ("01018001", "0101800100ac0200", "0101800100ac8200", "01", "", "0101800100ffffffff1f", "01zz")], "address string")
+    assert all(r.kind is None for r in ids.with_region(bad, "address").collect())
+    key = codec.derive_key("a test of seeds", [bytes(16) + b"body"])[0]
+    seed = int.from_bytes(key[:8], "little", signed=True)
+    sub = codec.derive_key("a test of seeds", [seed.to_bytes(8, "little", signed=True) + b"refine/height"])[0]
+    at = spark.range(1).select(ids.seed(F.lit("00" * 16), "a test of seeds").alias("s")).withColumn("u", ids.subseed(F.col("s"), F.lit("refine/height"), "a test of seeds"))
+    assert tuple(at.first()) == (seed, int.from_bytes(sub[:8], "little", signed=True))
+    one = spark.range(1).select(ids.object_id(F.lit("11" * 32), F.lit("0402c3a9"), "a test of ids")).first()[0]
+    assert one == "obj:" + codec.derive_key("a test of ids", [bytes([0x11] * 32) + bytes.fromhex("0402c3a9")])[0].hex()[:32]
+    parts = spark.createDataFrame([("0x00010002",), ("0x00000001",), ("0x00010000",), ("0xABCDEF01",)], "t string").select(ids.field_parts(F.col("t")).alias("p")).collect()
+    assert [r.p and tuple(r.p) for r in parts] == [(1, 2), None, None, None]
+
+
+def test_documents(spark):
+    fits = lambda v, s: documents.schema_error(v, s) is None
+    assert fits({"a": 1}, {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer"}}, "additionalProperties": False, "x-note": 1})
+    assert not fits({"a": 1, "b": 2}, {"properties": {"a": {}}, "additionalProperties": False}) and not fits({}, {"required": ["a"]})
+    assert not fits(True, {"type": "integer"}) and fits(2.5, {"type": ["null", "number"]}) and not fits(1, {"const": True}) and not fits(1, {"minimum": 0})
+    assert fits([1, 2], {"items": {"enum": [1, 2]}}) and not fits([1, 3], {"items": {"enum": [1, 2]}}) and not fits({"a": {"b": "x"}}, {"additionalProperties": {"additionalProperties": {"type": "null"}}})
+    docs = spark.createDataFrame([('{"a": {"path": "p", "hash": "h"}, "b": [[{"path": "q", "hash": "i", "c": {"path": "r", "hash": "j"}}]], "path": 1, "hash": "x"}',), ("{",), (None,)], "doc string")
+    got = docs.select(documents.referenced("doc").alias("r")).collect()
+    assert [[tuple(x) for x in r.r] for r in got] == [[("p", "h"), ("q", "i"), ("r", "j")], [], []]
+    stored = spark.createDataFrame([('{"scale": "0.50", "deep": [{"offset": "-1e5"}]}',), ('{"deep": [{"offset": 1}]}',), ('{"scale": "-0.0"}',), ('{"scale": "01"}',)], "doc string")
+    assert [r[0] for r in stored.select(documents.storage_error("doc")).collect()] == [None, "$.deep[0].offset", "$.scale", "$.scale"]
+    params = spark.createDataFrame([('{"properties": {"d": {"x-reference": "domain"}, "e": {"type": "string"}}}',)], "doc string")
+    assert params.select(documents.annotations(F.col("doc"))).first()[0] == {"d": "domain"}
