@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from orrery.functions.bits import ukey
 from orrery.functions.codec import MOST_BYTES
+from orrery.session import kept
 
 #: Fixed values, in upper case: names that a path component may not have, whatever its
 #: extension, and names that it may not have as they are.
@@ -51,6 +52,17 @@ def order_breaks(entries: DataFrame, by: str, position: str) -> DataFrame:
     return entries.withColumn("_last", F.lag(now).over(w)).where(F.col("_last") >= now).drop("_last")
 
 
+def numbered(rows: DataFrame, to: str, *order: Column) -> DataFrame:
+    """Adds dense ordinals from 1 in ``order``, which has to tell all rows apart: ranges of
+    rows are numbered in parallel, behind the counts of the ranges before."""
+    dealt = kept(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")  # a row a range
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    out = dealt.withColumn(to, inside).join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
+    return out.select(*rows.columns, (F.col(to) + F.col("_before")).alias(to))
+
+
 def path_error(path: Column) -> Column:
     """The first rule that an artifact path breaks; null for a good path."""
     parts = F.split(path, "/", -1)

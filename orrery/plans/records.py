@@ -218,11 +218,11 @@ def feature_ref_join(spark, sf_dir):
     return c.join(f, c["c_nationkey"] == f["n_nationkey"], "left").select("c_custkey", "n_name", "r_name", "ordinal")
 
 
-@query(f"SELECT n_nationkey, row_number() OVER (ORDER BY ukey)::INT AS ordinal FROM (SELECT n_nationkey, (n_nationkey::HUGEINT * 7046029254386353131) % 18446744073709551616 AS ukey FROM nation)")
+@query(f"SELECT n_nationkey, row_number() OVER (ORDER BY ukey) AS ordinal FROM (SELECT n_nationkey, (n_nationkey::HUGEINT * 7046029254386353131) % 18446744073709551616 AS ukey FROM nation)")
 def feature_ordinals_unsigned(spark, sf_dir):
     """Dense ranks by unsigned 64-bit ids that live in signed columns."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", bits.mul64(F.col("n_nationkey").cast("long"), 7046029254386353131).alias("id"))
-    return n.select("n_nationkey", F.row_number().over(Window.orderBy(bits.ukey(F.col("id")))).alias("ordinal"))
+    return content.numbered(n, "ordinal", bits.ukey(F.col("id"))).select("n_nationkey", "ordinal")
 
 
 @query("SELECT lang, quality, count(*)::BIGINT AS n, avg(length(text)) AS mean_chars FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang, quality")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.functions import codec
+from orrery.operators import content
 from orrery.plans import sql
 from orrery.plans.inputs import cells, d2
 from orrery.session import scratch, table
@@ -84,12 +85,10 @@ def jcs_canonical(spark, sf_dir):
     return l.select("id", "line", codec.canonical_or_null("doc").alias("canonical")).distinct()
 
 
-@query("SELECT DISTINCT dense_rank() OVER (ORDER BY l_returnflag)::INT AS code, l_returnflag AS label, count(*) OVER (PARTITION BY l_returnflag)::BIGINT AS n FROM lineitem")
+@query("SELECT DISTINCT dense_rank() OVER (ORDER BY l_returnflag) AS code, l_returnflag AS label, count(*) OVER (PARTITION BY l_returnflag)::BIGINT AS n FROM lineitem")
 def vocabulary(spark, sf_dir):
     """A vocabulary of category labels with dense codes."""
-    from pyspark.sql import Window
-
     l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("label")).agg(F.count(F.lit(1)).alias("n"))  # noqa: E741
-    return l.withColumn("code", F.row_number().over(Window.orderBy("label")))
+    return content.numbered(l, "code", F.col("label"))
 
 
