@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import crc_of_id, map_texts, saved, text_chunks
+from orrery.llm.common import crc_of_id, discard, map_texts, saved, text_chunks
 
 BUCKETS = 1 << 16
 #: Added to each count; EM rounds; cost of a language; languages in a slice of the model.
@@ -102,10 +102,10 @@ def fit(labelled: DataFrame) -> list[tuple[list[str], np.ndarray]]:
     """The model: tables of about ``SLICE`` languages or fewer, all of them together."""
     counts = saved(count(labelled), "trigrams")
     known = counts.agg(F.count_distinct("lang")).first()[0]
-    if known <= SLICE:
-        return [table_of(counts)]
-    slices = -(-2 * known // SLICE)
-    return [table_of(counts.where(F.pmod(F.xxhash64("lang"), F.lit(slices)) == k)) for k in range(slices)]
+    slices = 1 if known <= SLICE else -(-2 * known // SLICE)
+    model = [table_of(counts.where(F.pmod(F.xxhash64("lang"), F.lit(slices)) == k)) for k in range(slices)]
+    discard(counts)
+    return model
 
 
 def _shares(chances: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
